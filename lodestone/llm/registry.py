@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat_format, exact_dedup, mixing, secret_scan
+from lodestone.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, quality, secret_scan
 from lodestone.session import load
 
 
@@ -22,6 +22,29 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _fold(of: int) -> Column:
+    """crc32 of the id as text, modulo ``of``; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(_fold(5) != 0))
+    held_out = F.coalesce(_fold(5) == 0, F.lit(False))
+    return language_id.predict(docs, model, keep=(F.col("doc_id"), held_out), names=("doc_id", "held_out"))
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(load(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = quality.train(docs, load(spark, sf_dir, "labels").where(_fold(3) != 1))
+    held_out = F.coalesce(_fold(3) == 1, F.lit(False))
+    return quality.score(docs, model, keep=(F.col("doc_id"), held_out), names=("doc_id", "held_out"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"), keep="max")
 
@@ -50,7 +73,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op6_exact_dedup, op8_chat_format, op10_mix)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_ngram_jaccard, op4_quality, op6_exact_dedup, op8_chat_format, op10_mix)}
 
 
 _OP1 = r"""

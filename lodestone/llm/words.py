@@ -150,3 +150,26 @@ def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         keep[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
         hashes, text = hashes[keep], text[keep]
     return hashes, np.searchsorted(text, np.arange(words.n + 1))
+
+
+def shapes(words: Words) -> np.ndarray:
+    """A hash per word of its shape: runs of letters, capitals, digits and other bytes, each run of one class once."""
+    if not len(words.begin):
+        return np.zeros(0, np.uint64)
+    kind = _SHAPE[words.data]
+    fresh = np.ones(len(kind), bool)
+    fresh[1:] = kind[1:] != kind[:-1]
+    fresh[words.begin] = True
+    fresh &= ~_WHITE[words.data]
+    rank = np.cumsum(fresh)
+    base = np.repeat(rank[words.begin], np.diff(np.append(words.begin, len(kind))))
+    place = rank[words.begin[0] :] - base
+    value = np.where(fresh[words.begin[0] :], _BYTES[kind[words.begin[0] :]] * powers(_BASE, int(place.max()) + 1)[place], _U(0))
+    return mix(np.add.reduceat(value, words.begin - words.begin[0]) ^ _U(0xA5A5A5A5A5A5A5A5))
+
+
+_SHAPE = np.arange(256, dtype=np.uint8)
+_SHAPE[97:123] = 97
+_SHAPE[128:] = 97
+_SHAPE[65:91] = 65
+_SHAPE[48:58] = 48
