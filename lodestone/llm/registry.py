@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, quality, secret_scan
+from lodestone.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, quality, secret_scan, substring_dedup
 from lodestone.session import load
 
 
@@ -45,6 +45,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, keep=(F.col("doc_id"), held_out), names=("doc_id", "held_out"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(load(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"), keep="max")
 
@@ -73,7 +78,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_ngram_jaccard, op4_quality, op6_exact_dedup, op8_chat_format, op10_mix)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_ngram_jaccard, op4_quality, op5_substring_dedup, op6_exact_dedup, op8_chat_format, op10_mix)}
 
 
 _OP1 = r"""
