@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, quality, secret_scan, substring_dedup
+from lodestone.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_join, quality, secret_scan, substring_dedup
 from lodestone.session import load
 
 
@@ -71,6 +71,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "first_word", F.round("similarity", 6).alias("similarity"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(load(spark, sf_dir, "documents"))
     out = plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
@@ -78,7 +83,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_ngram_jaccard, op4_quality, op5_substring_dedup, op6_exact_dedup, op8_chat_format, op10_mix)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_ngram_jaccard, op4_quality, op5_substring_dedup, op6_exact_dedup, op8_chat_format, op9_decontaminate, op10_mix)}
 
 
 _OP1 = r"""
