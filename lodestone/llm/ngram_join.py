@@ -140,21 +140,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     counts = shingle_counts(texts, k)
     every = stored(summaries(texts, k, percent, counts, False), "summaries")
     classes = stored(
-        every.df.where("n > 0 and id is not null").groupBy("c1", "c2").agg(F.min(F.struct("id", "n", "prefix")).alias("x")).select("c1", "c2", F.col("x.id").alias("rep"), F.col("x.n").alias("n"), F.col("x.prefix").alias("prefix")),
+        every.df.where("n > 0 and id is not null").groupBy("c1", "c2").agg(F.min(F.struct("id", "n", "wanted", "prefix")).alias("x")).select("c1", "c2", F.col("x.id").alias("rep"), "x.n", "x.wanted", "x.prefix"),
         "classes",
     )
     posts = classes.df.select("rep", "n", F.posexplode("prefix").alias("at", "token"))
     common = posts.groupBy("token").count().where("count > 1").select("token")
     lists = stored(posts.join(common, "token"), "lists")
-    members = lists.df.select(F.col("rep").alias("id")).distinct()
-    sets = stored(
-        summaries(texts.join(members, "id", "left_semi"), k, percent, counts, True)
-        .join(classes.df.select("c1", "c2", F.col("rep").alias("id")), ["c1", "c2", "id"], "left_semi")  # of repeated ids, the row of this class
-        .dropDuplicates(["id"])
-        .select("id", "n", "wanted", "prefix", "shingles"),
-        "sets",
-    )
-    labels = _link(lists.df, sets.df, percent)
+    labels = _link(lists.df, classes.df, texts, k, percent, counts)
     found = classes.df.select("c1", "c2", "rep")
     if labels is not None:
         found = found.join(labels, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("label", "rep").alias("rep"))
@@ -164,7 +156,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     )
 
 
-def _link(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def _link(lists: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame | None:
     """(node, label) of all classes with links, None without any."""
     edges = labels = None
     low, high = 0, 1
@@ -188,7 +180,7 @@ def _link(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
         differ = F.col("o.label") != F.col("h.label")
         fits = _possible(percent, F.col("o.n"), F.col("o.at"), F.col("h.n"), F.col("h.at"))
         pairs = o.join(h, F.col("o.token") == F.col("h.token")).where(later & differ & fits).select(F.least("o.rep", "h.rep").alias("a"), F.greatest("o.rep", "h.rep").alias("b")).distinct()
-        new = stored(_verified(pairs, sets, percent), "links").df
+        new = _verified(pairs, classes, texts, k, percent, counts)
         if new.limit(1).count():
             edges = new if edges is None else edges.unionByName(new)
             labels = connected_components(edges)
@@ -196,10 +188,23 @@ def _link(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
         low, high = high, high * 8
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose prefixes share what both ask for and whose sets are similar enough."""
-    one = sets.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("wanted").alias("w1"), F.col("prefix").alias("p1"), F.col("shingles").alias("s1"))
-    two = sets.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("wanted").alias("w2"), F.col("prefix").alias("p2"), F.col("shingles").alias("s2"))
-    met = pairs.join(one, "a").join(two, "b").where(F.size(F.array_intersect("p1", "p2")) >= F.least("w1", "w2"))
-    common = F.size(F.array_intersect("s1", "s2"))
-    return met.where(common * 100 >= (F.col("n1") + F.col("n2") - common) * percent).select("a", "b")
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
+    """The pairs whose prefixes share what both ask for and whose sets are similar enough.
+
+    What two prefixes share also bounds what the sets share: of the set whose prefix ends first
+    only the rest can be added. Sets are made only for pairs that this leaves.
+    """
+    side = lambda x, i: classes.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{i}") for c in ("c1", "c2", "n", "wanted", "prefix")))
+    shared = F.size(F.array_intersect("prefix_a", "prefix_b"))
+    most = shared + F.greatest(*(F.col(f"n_{i}") - F.size(f"prefix_{i}") for i in "ab"))
+    enough = (shared >= F.least("wanted_a", "wanted_b")) & (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent)
+    close = stored(pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").where(enough).drop("prefix_a", "prefix_b", "wanted_a", "wanted_b"), "close").df
+    members = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = stored(summaries(texts.join(members, "id", "left_semi"), k, percent, counts, True).select("id", "c1", "c2", "shingles"), "sets")
+    # an id that is repeated has several sets; the class names the one that is meant
+    one, two = (sets.df.select(F.col("id").alias(i), F.col("c1").alias(f"c1_{i}"), F.col("c2").alias(f"c2_{i}"), F.col("shingles").alias(f"s_{i}")) for i in "ab")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    linked = close.join(one, ["a", "c1_a", "c2_a"]).join(two, ["b", "c1_b", "c2_b"]).where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent)
+    out = stored(linked.select("a", "b").distinct(), "links").df
+    sets.drop()
+    return out
