@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_join, quality, secret_scan, substring_dedup
+from lodestone.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, secret_scan, substring_dedup
 from lodestone.session import load
 
 
@@ -54,6 +54,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"), keep="max")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_lines(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
@@ -83,7 +88,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_ngram_jaccard, op4_quality, op5_substring_dedup, op6_exact_dedup, op8_chat_format, op9_decontaminate, op10_mix)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_ngram_jaccard, op4_quality, op5_substring_dedup, op6_exact_dedup, op7_line_dedup, op8_chat_format, op9_decontaminate, op10_mix)}
 
 
 _OP1 = r"""
