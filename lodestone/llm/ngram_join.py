@@ -13,7 +13,7 @@ their prefixes share at least the smaller l of the two.
 Only prefix shingles of two or more classes make lists. Inside a list, pairs are not all
 made: first every class meets one hub, the class with the fewest shingles before this one;
 then components are found, and only lists that still hold several components go on, with
-hubs 1-7, 8-63, 64-511 and so on, each against classes of other components. A pair is left
+hubs 1-15, 16-255, 256-4095 and so on, each against classes of other components. A pair is left
 out if it is in one component already, or if sizes and positions prove that it can't be
 similar enough: at the first shingle that two sets share, no more than the rest of the
 smaller remainder is common to both. So every component is exact, with far fewer pairs than
@@ -39,6 +39,8 @@ from lodestone.llm.words import Words, mix, shingle_sets, slices
 
 #: Counters of the sketch and of one of the rows in which it travels; its size never depends on the data.
 WIDTH, BLOCK = 1 << 18, 1 << 12
+#: Bits of the map of ids whose sets are needed. Up to a quarter as many ids are looked up in it where the texts are read; more of them are joined.
+MEMBER_BITS = 1 << 23
 #: The most shared prefix shingles that a document may ask for.
 MOST_SHARED = 4
 _SHIFT = np.uint64(64 - 18)
@@ -90,12 +92,20 @@ def shared_wanted(costs: np.ndarray, need: int) -> int:
     return best
 
 
-def summaries(docs: DataFrame, k: int, percent: int, counts: np.ndarray, with_set: bool) -> DataFrame:
-    """One row per row of ``docs`` (id, text): id, n, c1 and c2 (which name its set), wanted, prefix and, if asked for, the set."""
+def summaries(docs: DataFrame, k: int, percent: int, counts: np.ndarray, with_set: bool, only: np.ndarray | None = None) -> DataFrame:
+    """One row per row of ``docs`` (id, text): id, n, c1 and c2 (which name its set), wanted, prefix and, if asked for, the set.
+
+    ``only``: a bitmap of ``MEMBER_BITS`` bits; other ids are left out before their texts are read.
+    """
     load = counts.sum() / WIDTH
 
+    def chosen(batches):
+        for batch in batches:
+            slot = batch["slot"].to_numpy()
+            yield batch.filter(pa.array((only[slot >> 6] >> (slot & 63)) & 1 == 1))
+
     def run(batches):
-        for part, hashes, first in _sets(batches, k):
+        for part, hashes, first in _sets(batches if only is None else chosen(batches), k):
             n = np.diff(first)
             seen = counts[(hashes >> _SHIFT).astype(np.int64)]
             cost = np.maximum(seen - load, 1.0) - 1.0
@@ -119,9 +129,25 @@ def summaries(docs: DataFrame, k: int, percent: int, counts: np.ndarray, with_se
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "c1", "c2", "wanted", "prefix", *["shingles"] * with_set])
 
     kind = dict(docs.dtypes)["id"]
+    if only is not None:
+        docs = docs.withColumn("slot", _slot(F.col("id")))
     return docs.mapInArrow(run, f"id {kind}, n long, c1 long, c2 long, wanted int, prefix array<long>" + ", shingles array<long>" * with_set)
 
 
+def _slot(member: Column) -> Column:
+    return F.pmod(F.xxhash64(member), F.lit(MEMBER_BITS))
+
+
+def bitmap(members: DataFrame) -> np.ndarray:
+    """``MEMBER_BITS`` bits in words of 64, set at the slots of ``members`` (id)."""
+    slot = _slot(F.col("id"))
+    words = members.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    out = np.zeros(MEMBER_BITS // 64, np.int64)
+    for word, bits in words.collect():  # MEMBER_BITS / 64 rows at most
+        out[word] = bits
+    return out
+
+
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     offsets = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(r) for r in rows], out=offsets[1:])
@@ -185,7 +211,7 @@ def _link(lists: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percen
             edges = new if edges is None else edges.unionByName(new)
             labels = connected_components(edges)
         # lists close as a whole, so places in the others stay as they were and every pair has its round
-        low, high = high, high * 8
+        low, high = high, high * 16
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
@@ -200,8 +226,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pe
     enough = (shared >= F.least("wanted_a", "wanted_b")) & (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent)
     close = stored(pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").where(enough).drop("prefix_a", "prefix_b", "wanted_a", "wanted_b"), "close").df
     members = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(summaries(texts.join(members, "id", "left_semi"), k, percent, counts, True).select("id", "c1", "c2", "shingles"), "sets")
-    # an id that is repeated has several sets; the class names the one that is meant
+    if members.count() <= MEMBER_BITS // 4:
+        made = summaries(texts, k, percent, counts, True, bitmap(members))
+    else:
+        made = summaries(texts.join(members, "id", "left_semi"), k, percent, counts, True)
+    sets = stored(made.select("id", "c1", "c2", "shingles"), "sets")
+    # ids that share a bit, and ids that are repeated, have other sets too; the class names the one that is meant
     one, two = (sets.df.select(F.col("id").alias(i), F.col("c1").alias(f"c1_{i}"), F.col("c2").alias(f"c2_{i}"), F.col("shingles").alias(f"s_{i}")) for i in "ab")
     common = F.size(F.array_intersect("s_a", "s_b"))
     linked = close.join(one, ["a", "c1_a", "c2_a"]).join(two, ["b", "c1_b", "c2_b"]).where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent)
