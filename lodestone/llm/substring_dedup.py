@@ -33,9 +33,12 @@ from pyspark.sql import functions as F
 from lodestone.llm.store import stored
 from lodestone.llm.words import Words, slices
 
+#: Rows of a piece of text at most, as a power of two: neighbours in one partition.
+SLICE = 9
 _U = np.uint64
 _ENTRY = "bucket int, base long, keys binary, rows binary, places binary, found boolean"
 _NAMES = ["bucket", "base", "keys", "rows", "places", "found"]
+_EMPTY = pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())], _NAMES)
 #: Bits at the low end of a packed key: it is a reference block; its piece of text has several of it.
 _ANCHOR, _SEVERAL = _U(1), _U(2)
 _SIZES = (np.uint8, np.uint16, np.uint32, np.uint64)
@@ -116,13 +119,33 @@ def _meet(width: int, anchored: bool):
             hit = order[np.repeat(good, size) & (h & _SEVERAL == 0)]
         hit = np.concatenate([hit, np.flatnonzero(known)])
         hit = hit[np.lexsort((places[hit], rows[hit]))]
-        at = np.flatnonzero(np.diff(rows[hit], prepend=-1)) if len(hit) else np.zeros(0, np.int64)
-        offsets = np.append(at, len(hit)).astype(np.int32)
-        return pa.table([pa.array(rows[hit][at]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(places[hit].astype(np.int32)))], ["row", "places"])
+        rows, places = rows[hit], places[hit]
+        first = np.flatnonzero(np.diff(rows >> SLICE, prepend=-1)) if len(hit) else np.zeros(0, np.int64)
+        offsets = pa.array(np.append(first, len(hit)).astype(np.int32))
+        docs = pa.array((rows & ((1 << SLICE) - 1)).astype(np.int32))
+        return pa.table([pa.array(rows[first] >> SLICE), pa.ListArray.from_arrays(offsets, docs), pa.ListArray.from_arrays(offsets, pa.array(places.astype(np.int32)))], ["slice", "docs", "places"])
 
     return meet
 
 
+def _pieces(rows: np.ndarray, texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of one slice, with a few megabytes of text at most or one row."""
+    for a, b in slices(texts):
+        cuts = a + 1 + np.flatnonzero(np.diff(rows[a:b] >> SLICE))
+        yield from zip([a, *cuts.tolist()], [*cuts.tolist(), b])
+
+
+def _places(answers: pa.Table) -> dict[int, np.ndarray]:
+    """The answered places of each row of one slice."""
+    if not answers.num_rows:
+        return {}
+    docs, places = (np.concatenate([np.asarray(x.values) for x in answers[c]]) for c in ("docs", "places"))
+    order = np.lexsort((places, docs))
+    docs, places = docs[order], places[order]
+    first = np.flatnonzero(np.diff(docs, prepend=-1))
+    return dict(zip((docs[first] + (answers["slice"][0].as_py() << SLICE)).tolist(), np.split(places, first[1:])))
+
+
 def _buckets(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -132,81 +155,74 @@ def _probes(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch["text"]):
+            row = batch["row"].to_numpy()
+            for a, b in _pieces(row, batch["text"]):
                 words = Words(batch["text"].slice(a, b - a))
                 hashes, at = words.runs(block)
                 doc = np.repeat(np.arange(b - a), words.counts)[at]
                 enough = words.counts[doc] >= window
                 hashes, at, doc = hashes[enough], at[enough], doc[enough]
                 places = at - words.first[doc]
-                rows = batch["row"].slice(a, b - a).to_numpy()[doc]
                 if len(hashes):
-                    yield _packed(hashes, rows, places, places % block == 0, buckets, 5)
+                    yield _packed(hashes, row[a:b][doc], places, places % block == 0, buckets, 5)
 
     return docs.select("row", "text").mapInArrow(run, _ENTRY)
 
 
-def _windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """Whole windows around the hits (``places``) of each document."""
+def _windows(docs: DataFrame, hits: DataFrame, window: int, buckets: int) -> DataFrame:
+    """Whole windows around the hits of each document."""
     block = (window + 1) // 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch["text"]):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        found, out = _places(answers), []
+        some = texts.filter(pa.array([r in found for r in texts["row"].to_pylist()], pa.bool_())).sort_by("row").combine_chunks()
+        for batch in some.to_batches():
+            row = batch["row"].to_numpy()
+            for a, b in _pieces(row, batch["text"]):
                 words = Words(batch["text"].slice(a, b - a))
                 near = np.zeros(len(words.hashes) + 1, np.int64)
-                for i, hits in enumerate(batch["places"].slice(a, b - a)):
-                    hits = np.asarray(hits.values)
-                    np.add.at(near, words.first[i] + np.maximum(hits - (window - block), 0), 1)
-                    np.add.at(near, words.first[i] + hits + 1, -1)
+                for i, r in enumerate(row[a:b].tolist()):
+                    np.add.at(near, words.first[i] + np.maximum(found[r] - (window - block), 0), 1)
+                    np.add.at(near, words.first[i] + found[r] + 1, -1)
                 near = np.cumsum(near) > 0
                 hashes, at = words.runs(window)
-                some = near[at]
-                hashes, at = hashes[some], at[some]
+                hashes, at = hashes[near[at]], at[near[at]]
                 if len(hashes):
                     doc = np.repeat(np.arange(b - a), words.counts)[at]
-                    rows = batch["row"].slice(a, b - a).to_numpy()[doc]
-                    yield _packed(hashes, rows, at - words.first[doc], np.ones(len(at), bool), buckets, 8)
-
-    return docs.mapInArrow(run, _ENTRY)
-
-
-def _kept(docs: DataFrame, window: int) -> DataFrame:
-    """Documents without the words of the repeated windows that begin at ``places``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch["text"]):
-                total, removed, texts = [], [], []
-                for text, starts in zip(batch["text"].slice(a, b - a), batch["places"].slice(a, b - a)):
-                    words = (text.as_py() or "").encode().split()
-                    total.append(len(words))
-                    if starts.is_valid and len(starts):
-                        edge = np.zeros(len(words) + 1, np.int64)
-                        first = np.unique(np.asarray(starts.values))
-                        edge[first] += 1
-                        np.add.at(edge, first + window, -1)
-                        keep = np.cumsum(edge)[:-1] == 0
-                        words = [words[i] for i in np.flatnonzero(keep)]
-                    removed.append(total[-1] - len(words))
-                    texts.append(b" ".join(words))
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(a, b - a), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "text"])
+                    out.append(_packed(hashes, row[a:b][doc], at - words.first[doc], np.ones(len(at), bool), buckets, 8))
+        return pa.Table.from_batches(out) if out else _EMPTY
+
+    return docs.select("slice", "row", "text").groupBy("slice").cogroup(hits.groupBy("slice")).applyInArrow(run, _ENTRY)
+
+
+def _kept(docs: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
+    """Documents without the words of the repeated windows."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        found = _places(answers)
+        total, removed, out = [], [], []
+        for row, text in zip(texts["row"].to_pylist(), texts["text"]):
+            words = (text.as_py() or "").encode().split()
+            total.append(len(words))
+            if row in found:
+                edge = np.zeros(len(words) + 1, np.int64)
+                first = np.unique(found[row])
+                edge[first] += 1
+                np.add.at(edge, first + window, -1)
+                words = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
+            removed.append(total[-1] - len(words))
+            out.append(b" ".join(words))
+        return pa.table([texts["id"], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "text"])
 
     kind = dict(docs.dtypes)["id"]
-    return docs.select("id", "text", "places").mapInArrow(run, f"id {kind}, n_words long, n_removed long, text string")
+    return docs.groupBy("slice").cogroup(repeats.groupBy("slice")).applyInArrow(run, f"id {kind}, n_words long, n_removed long, text string")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed and text, the kept words joined by one space."""
     buckets = _buckets(docs)
-    keyed = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "keyed").df
-    found = "row long, places array<int>"
+    keyed = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "keyed").df.withColumn("slice", F.shiftright("row", SLICE))
+    found = "slice long, docs array<int>, places array<int>"
     hits = stored(_probes(keyed, window, buckets).groupBy("bucket").applyInArrow(_meet(5, True), found), "hits").df
-    near = keyed.select("row", "text").join(_together(hits), "row")
-    repeats = stored(_windows(near, window, buckets).groupBy("bucket").applyInArrow(_meet(8, False), found), "repeats").df
-    return _kept(keyed.join(_together(repeats), "row", "left"), window).withColumnRenamed("id", id_col)
-
-
-def _together(hits: DataFrame) -> DataFrame:
-    """All places of a row; no more than it has words, twice."""
-    return hits.groupBy("row").agg(F.flatten(F.collect_list("places")).alias("places"))
+    repeats = stored(_windows(keyed, hits, window, buckets).groupBy("bucket").applyInArrow(_meet(8, False), found), "repeats").df
+    return _kept(keyed, repeats, window).withColumnRenamed("id", id_col)
