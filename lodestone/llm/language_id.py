@@ -217,9 +217,9 @@ def _scorer(model: Model) -> Callable:
     return score
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[Column, ...] = (F.col("doc_id"),), names: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` (named ``names``) with lang_pred and score, one row per row of ``docs``."""
-    rows = docs.select(*(c.alias(n) for c, n in zip(keep, names)), F.col(text_col).alias("text"))
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[Column, ...] = (), names: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, named ``names`` (without ``keep``: the columns of these names), with lang_pred and score, one row per row of ``docs``."""
+    rows = docs.select(*(c.alias(n) for c, n in zip(keep or map(F.col, names), names)), F.col(text_col).alias("text"))
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "text")
     return rows.mapInArrow(_scorer(model), f"{schema}, lang_pred string, score double")
 

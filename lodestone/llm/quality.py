@@ -106,8 +106,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, passes: i
     return model.freeze()
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", keep: tuple[Column, ...] = (F.col("doc_id"),), names: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` (named ``names``) with score and predicted, one row per row of ``docs``."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", keep: tuple[Column, ...] = (), names: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, named ``names`` (without ``keep``: the columns of these names), with score and predicted, one row per row of ``docs``."""
     weights, bias = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,6 +122,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
                 rest = [c for c in batch.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*(batch[c].slice(a, b - a) for c in rest), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*rest, "score", "predicted"])
 
-    rows = docs.select(*(c.alias(n) for c, n in zip(keep, names)), F.col(text_col).alias("text"))
+    rows = docs.select(*(c.alias(n) for c, n in zip(keep or map(F.col, names), names)), F.col(text_col).alias("text"))
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "text")
     return rows.mapInArrow(run, f"{schema}, score double, predicted int")

@@ -143,7 +143,7 @@ def _places(answers: pa.Table) -> dict[int, np.ndarray]:
     order = np.lexsort((places, docs))
     docs, places = docs[order], places[order]
     first = np.flatnonzero(np.diff(docs, prepend=-1))
-    return dict(zip((docs[first] + (answers["slice"][0].as_py() << SLICE)).tolist(), np.split(places, first[1:])))
+    return dict(zip((docs[first].astype(np.int64) + (answers["slice"][0].as_py() << SLICE)).tolist(), np.split(places, first[1:])))
 
 
 def _buckets(df: DataFrame) -> int:
