@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.session import shared_dir
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of rows that go to a Python worker at once; the default is eight times as many.
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)
 
 
 @contextmanager
@@ -47,7 +49,7 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> Stored:
     """Write ``df`` to the shared folder. Files still there when the application ends are deleted then."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with _set(spark, _CLEAN, "true"):
+    with _set(spark, _CLEAN, "true"), _set(spark, _BATCH, _BATCH_BYTES):
         df.write.option("compression", codec).parquet(path)
     fs, at = _fs(spark, path)
     fs.deleteOnExit(at)
