@@ -74,21 +74,29 @@ def _between(piece: Column, opening: str, closing: str) -> Column:
 
 
 def _turn(piece: Column) -> Column:
-    """(role, text) of one piece, null where the grammar has no such turn."""
+    """(role, text) of one piece, null where the grammar has no such turn. What is read is bound to a name, so it is read once."""
     user, assistant, other = _between(piece, "[INST] ", " [/INST]"), _between(piece, "<s> ", " </s>"), _between(piece, "<<SYS>> ", " <</SYS>>")
-    name = F.substring_index(other, "\n", 1)
-    body = F.coalesce(user, assistant, F.when(F.instr(other, "\n") > 0, F.substring(other, F.length(name) + 2, F.length(other))))
-    role = F.when(user.isNotNull(), F.lit("user")).when(assistant.isNotNull(), F.lit("assistant")).otherwise(_role_in(name))
-    legal = body.isNotNull() & ~body.rlike(_CONTROL) & ~F.coalesce(name, F.lit("")).rlike(_CONTROL)
-    return F.when(legal, F.struct(role.alias("role"), unescape(body).alias("text")))
+    place = F.instr(other, "\n")
+    kind = F.when(piece.startswith("[INST] "), F.lit("user")).when(piece.startswith("<s> "), F.lit("assistant"))
+    body = F.coalesce(user, assistant, F.when(place > 0, F.substring(other, place + 1, F.length(other))))
+    read = F.struct(kind.alias("kind"), F.when(kind.isNull(), F.substring_index(other, "\n", 1)).alias("name"), body.alias("body"))
+
+    def judged(t: Column) -> Column:
+        legal = t["body"].isNotNull() & ~t["body"].rlike(_CONTROL) & ~F.coalesce(t["name"], F.lit("")).rlike(_CONTROL)
+        return F.when(legal, F.struct(F.coalesce(t["kind"], _role_in(t["name"])).alias("role"), unescape(t["body"]).alias("text")))
+
+    return F.get(F.transform(F.array(read), judged), F.lit(0))
 
 
 def parse(text: Column) -> Column:
     """Array of (role, text) that the grammar reads from a rendered conversation; a null element is no legal turn."""
-    pieces = _pieces(text)
-    # a text that ends in a closing string has an empty last piece
-    turns = F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), _turn)
-    return F.when(F.element_at(pieces, -1) == "", turns).otherwise(F.concat(turns, F.array(F.lit(None).cast("struct<role:string,text:string>"))))
+
+    def read(pieces: Column) -> Column:
+        # a text that ends in a closing string has an empty last piece
+        turns = F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), _turn)
+        return F.when(F.element_at(pieces, -1) == "", turns).otherwise(F.concat(turns, F.array(F.lit(None).cast("struct<role:string,text:string>"))))
+
+    return F.get(F.transform(F.array(_pieces(text)), read), F.lit(0))
 
 
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
