@@ -104,16 +104,16 @@ def spans_text(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, findings: DataFrame | None = None, path_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(every path with its findings, new ledger rows, new findings).
 
-    ``ledger`` and ``findings`` are those of earlier scans; findings of other rule versions are left out.
+    The scan runs here, and its findings are written to the shared folder. ``ledger`` and ``findings`` are those of earlier scans; findings of other rule versions are left out.
     """
     blobs = unseen_blobs(docs, rules, ledger, text_col)
-    new = scan_blobs(blobs, rules)
+    new = stored(scan_blobs(blobs, rules), "findings").df
     pairs = blobs.select("blob", F.explode("todo").alias("t")).select("blob", F.substring_index("t", ":", 1).alias("rule"), F.substring_index("t", ":", -1).cast("int").alias("version"))
     current = new
     if findings is not None:
         live = F.concat_ws(":", "rule", "version").isin(*(f"{r.kind}:{r.version}" for r in rules))
         current = findings.where(live).unionByName(new)
-    found = by_blob(current, rules)
+    found = stored(by_blob(current, rules), "found").df  # a table of its own, so that the join's other side can be split
     paths = docs.select(*(F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(path_cols)), blob_of(F.col(text_col)).alias("blob"))
     found = found.withColumnRenamed("blob", "_blob")
     none = F.array().cast(found.schema["spans"].dataType)
