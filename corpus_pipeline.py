@@ -15,7 +15,7 @@ from lodestone.llm.store import stored
 from lodestone.session import load
 
 #: Documents whose language is less sure than this go, as do those without a letter.
-LEAST_SCORE = 0.2
+LEAST_SCORE = 0.1
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
