@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.ngram_join import MEMBER_BITS, bitmap, slot
 from lodestone.llm.store import stored
 from lodestone.llm.words import Words, mix, powers, slices
 
@@ -122,12 +123,33 @@ def _neighbourhood(docs: DataFrame) -> DataFrame:
     return docs.select("id", "row", "text", "wanted").mapInArrow(run, f"id {kind}, row long, line int, n int, words array<long>, keys array<long>, at array<int>")
 
 
+def _split(keyed: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Documents that may be among ``members`` (row), and those that are not, by a bitmap of fixed size where texts are read.
+
+    Too many members for the bitmap: all documents may be, and the join that follows decides.
+    """
+    if members.count() > MEMBER_BITS // 4:
+        return keyed, None
+    bits, columns = bitmap(members.select(F.col("row").alias("id"))), keyed.columns
+
+    def side(inside: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch["slot"].to_numpy()
+                yield batch.filter(pa.array(((bits[at >> 6] >> (at & 63)) & 1 == 1) == inside)).select(columns)
+
+        return keyed.withColumn("slot", slot(F.col("row"))).mapInArrow(run, keyed.schema)
+
+    return side(True), side(False)
+
+
 def _near(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     """Places (row, line) of distinct lines that an earlier one is one edit away from."""
     halves = distinct.select(F.col("o.row").alias("row"), F.col("o.line").alias("line"), F.explode("halves").alias("half"))
     common = halves.groupBy("half").count().where("count > 1").select("half")
     wanted = halves.join(common, "half").select("row", "line").distinct().groupBy("row").agg(F.collect_list("line").alias("wanted"))
-    table = stored(_neighbourhood(keyed.join(wanted, "row")), "neighbourhood").df.withColumn("o", F.struct("id", "row", "line"))
+    wanted = stored(wanted, "wanted").df
+    table = stored(_neighbourhood(_split(keyed, wanted)[0].join(wanted, "row")), "neighbourhood").df.withColumn("o", F.struct("id", "row", "line"))
     forms = stored(table.select("o", "n", F.explode(F.arrays_zip("keys", "at")).alias("k")).select("o", "n", F.col("k.keys").alias("key"), F.col("k.at").alias("at")), "forms").df
     cut, whole = forms.where("at >= 0"), forms.where("at < 0").select(F.col("o").alias("w"), (F.col("n") + 1).alias("n"), "key")
     first = cut.groupBy("key", "n", "at").agg(F.min("o").alias("w"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
@@ -168,4 +190,8 @@ def remove_lines(docs: DataFrame, least_words: int = 8, id_col: str = "doc_id",
     near = stored(_near(keyed, distinct), "near").df
     later = lines.join(distinct.select("h", "g", F.col("o.row").alias("r"), F.col("o.line").alias("l")), ["h", "g"]).where((F.col("row") != F.col("r")) | (F.col("line") != F.col("l"))).select("row", "line")
     gone = stored(later.unionByName(near).groupBy("row").agg(F.collect_list("line").alias("gone")), "gone").df
-    return _without(keyed.join(gone, "row", "left")).withColumnRenamed("id", id_col)
+    some, rest = _split(keyed, gone)
+    out = _without(some.join(gone, "row", "left"))
+    if rest is not None:
+        out = out.unionByName(_without(rest.withColumn("gone", F.lit(None).cast("array<int>"))))
+    return out.withColumnRenamed("id", id_col)

@@ -130,18 +130,18 @@ def summaries(docs: DataFrame, k: int, percent: int, counts: np.ndarray, with_se
 
     kind = dict(docs.dtypes)["id"]
     if only is not None:
-        docs = docs.withColumn("slot", _slot(F.col("id")))
+        docs = docs.withColumn("slot", slot(F.col("id")))
     return docs.mapInArrow(run, f"id {kind}, n long, c1 long, c2 long, wanted int, prefix array<long>" + ", shingles array<long>" * with_set)
 
 
-def _slot(member: Column) -> Column:
+def slot(member: Column) -> Column:
     return F.pmod(F.xxhash64(member), F.lit(MEMBER_BITS))
 
 
 def bitmap(members: DataFrame) -> np.ndarray:
     """``MEMBER_BITS`` bits in words of 64, set at the slots of ``members`` (id)."""
-    slot = _slot(F.col("id"))
-    words = members.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    at = slot(F.col("id"))
+    words = members.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
     out = np.zeros(MEMBER_BITS // 64, np.int64)
     for word, bits in words.collect():  # MEMBER_BITS / 64 rows at most
         out[word] = bits
