@@ -19,7 +19,9 @@ Everything is DataFrame expressions. Null texts and texts of fewer than five wor
 nothing; items of fewer than five words are too short to show a leak and match nothing, and
 neither do items with a null id.
 Repeated rows are documents like others: all matches of an id come out once, with the best
-window. A null id is one document id like others.
+window. A null id is one document id like others. Rows with one id and different texts, documents
+or items, are compared each by itself: a window is known by both ids, hashes of both texts and the
+place where the item would begin, which is negative where the start of a document cuts it off.
 """
 
 from __future__ import annotations
@@ -85,25 +87,26 @@ def _block_values(fingerprint: Column, radius: int) -> Column:
 
 def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item id, first word of the best window, similarity) of every leak."""
-    bench = items.select(F.col(item_col).alias("item"), text_shingles(F.col(item_text)).alias("own")).where(F.size("own") > 0)
+    bench = items.select(F.col(item_col).alias("item"), F.xxhash64(item_text).alias("wording"), text_shingles(F.col(item_text)).alias("own")).where(F.size("own") > 0)
     bench = stored(bench, "items").df.withColumn("mark", simhash(F.col("own")))
     bench = stored(bench, "items").df
-    anchors = bench.select("item", F.size("own").alias("size"), F.posexplode("own").alias("place", "shingle"))
-    index = bench.select("item", "own", "mark", F.posexplode(_block_values(F.col("mark"), radius)).alias("block", "value"))
+    anchors = bench.select("item", "wording", F.size("own").alias("size"), F.posexplode("own").alias("place", "shingle"))
+    index = bench.select("item", "wording", "own", "mark", F.posexplode(_block_values(F.col("mark"), radius)).alias("block", "value"))
     n = anchors.count()
     few = (lambda df: F.broadcast(df)) if n <= BROADCAST_ROWS else (lambda df: df)
 
-    texts = docs.select(F.col(id_col).alias("doc"), text_shingles(F.col(text_col)).alias("all"))
-    windows = texts.select("doc", "all", F.posexplode("all").alias("at", "shingle")).join(few(anchors), "shingle")
+    texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("copy"), text_shingles(F.col(text_col)).alias("all"))
+    windows = texts.select("doc", "copy", "all", F.posexplode("all").alias("at", "shingle")).join(few(anchors), "shingle")
     first = F.col("at") - F.col("place")
     begin = F.greatest(first, F.lit(0))
     part = F.slice("all", begin + 1, F.least(first + F.col("size"), F.size("all")) - begin)
-    windows = windows.select("doc", "item", begin.alias("begin"), part.alias("part")).dropDuplicates(["doc", "item", "begin"])
+    key = ["doc", "copy", "item", "wording", "first"]
+    windows = windows.select("doc", "copy", "item", "wording", first.alias("first"), part.alias("part")).dropDuplicates(key)
     windows = stored(windows, "windows").df.withColumn("mark", simhash(F.col("part")))
-    probes = windows.select("doc", "item", "begin", "part", F.col("mark").alias("seen"), F.posexplode(_block_values(F.col("mark"), radius)).alias("block", "value"))
-    near = probes.join(few(index), ["item", "block", "value"]).where(F.bit_count(F.col("seen").bitwiseXOR(F.col("mark"))) <= radius)
-    near = near.groupBy("doc", "item", "begin").agg(F.first("part").alias("part"), F.first("own").alias("own"))
-    scored = near.select("doc", "item", "begin", similarity(F.col("part"), F.col("own")).alias("similarity")).where(F.col("similarity") >= least)
+    probes = windows.select(*key, "part", F.col("mark").alias("seen"), F.posexplode(_block_values(F.col("mark"), radius)).alias("block", "value"))
+    near = probes.join(few(index), ["item", "wording", "block", "value"]).where(F.bit_count(F.col("seen").bitwiseXOR(F.col("mark"))) <= radius)
+    near = near.groupBy(*key).agg(F.first("part").alias("part"), F.first("own").alias("own"))
+    scored = near.select("doc", "item", F.greatest("first", F.lit(0)).alias("begin"), similarity(F.col("part"), F.col("own")).alias("similarity")).where(F.col("similarity") >= least)
     best = scored.groupBy("doc", "item").agg(F.max(F.struct("similarity", (-F.col("begin")).alias("back"))).alias("b"))
     return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), (-F.col("b.back")).alias("first_word"), F.col("b.similarity").alias("similarity"))
 
