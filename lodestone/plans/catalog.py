@@ -108,6 +108,33 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "id", F.round("rrf", 6).alias("rrf"), "rank")
 
 
+# The three searches above answer the few queries that their SQL states. These answer the whole query set; tests hold them to brute force.
+
+
+@query()
+def vector_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = ranking.neighbours(load(spark, sf_dir, "embeddings"), V.search_vectors(spark, sf_dir))
+    return hits.select("query_id", "id", F.round("score", 4).alias("score"), "rank")
+
+
+@query()
+def vector_search_filtered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    allowed = vectors.where("label % 2 = 0").select(F.col("vec_id").alias("id"))
+    hits = ranking.neighbours(vectors, V.search_vectors(spark, sf_dir), allowed=allowed)
+    return hits.select("query_id", "id", F.round("score", 4).alias("score"), "rank")
+
+
+@query()
+def rrf_hybrid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item and every vector of the query set; an id that is both has two rankings."""
+    kw = ranking.bm25(load(spark, sf_dir, "documents"), V.bench_queries(spark, sf_dir)).select("query_id", "id", "rank", F.lit(0.8).alias("weight"))
+    vec = ranking.neighbours(load(spark, sf_dir, "embeddings"), V.search_vectors(spark, sf_dir)).select("query_id", "id", "rank", F.lit(1.3).alias("weight"))
+    best = Window.partitionBy("query_id").orderBy(F.round("rrf", 9).desc(), "id")
+    out = ranking.rank_fusion(kw.unionByName(vec)).withColumn("rank", F.row_number().over(best)).where("rank <= 10")
+    return out.select("query_id", "id", F.round("rrf", 6).alias("rrf"), "rank")
+
+
 _TRUST = f"""round_even(greatest(0::DOUBLE, least(1::DOUBLE, least(1::DOUBLE, {_case(C.BASE_TIER, 'source_type', C.DEFAULT_TIER)}
   + {_case(C.ROLE_BONUS, 'author_role', 0.0)} + least(0.10::DOUBLE, 0.02::DOUBLE * ln(1 + greatest(coalesce(n_chars, 0), 0)::DOUBLE))
   + CASE WHEN doc_id % 13 = 0 THEN 0.10::DOUBLE ELSE 0::DOUBLE END)

@@ -40,6 +40,11 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
+def search_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set of the searches: every vector whose id is divisible by 20."""
+    return load(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations are part of regions, suppliers of nations."""
     nation = load(spark, sf_dir, "nation").select((F.col("n_nationkey") * 2).cast("long").alias("edge"), F.concat(F.lit("n"), "n_nationkey").alias("subject"), F.concat(F.lit("r"), "n_regionkey").alias("object"))
