@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import fixed as C
 from lodestone.functions import text as T
+from lodestone.operators import claims as K
 from lodestone.operators import evaluate, evidence, graph, ranking, shaping, sources, understanding, usage
 from lodestone.plans import views as V
 from lodestone.session import load
@@ -271,14 +272,21 @@ def subject_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def evidence_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims taken from documents against the next document's claims, related by word overlap."""
-    docs = load(spark, sf_dir, "documents")
-    claims = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("place", "claim"))
-    a, b = claims.alias("a"), claims.alias("b")
-    sim = T.jaccard(T.tokens(F.col("a.claim")), T.tokens(F.col("b.claim")))
-    pairs = a.join(b, (F.col("b.doc_id") == F.col("a.doc_id") + 1) & (F.col("a.place") == F.col("b.place")))
-    out = pairs.select(F.col("a.doc_id").alias("doc_id"), F.col("a.place").alias("place"), evidence.relation(F.col("a.claim"), F.col("b.claim"), sim, F.lit(True)).alias("r"))
-    return out.where("r is not null").select("doc_id", "place", "r.relation", "r.strength")
+    """Every statement of the documents against the six documents found for it and its own, related by word overlap.
+
+    A statement is known by its normalised text, so its own documents are all that make it. A
+    document takes part with its text and with each of its other statements.
+    """
+    docs = load(spark, sf_dir, "documents").where("doc_id is not null")
+    said = docs.select("doc_id", F.explode(T.sentences(F.col("text"))).alias("text")).withColumn("claim", F.sha2(T.normalised(F.col("text")), 256))
+    claims = said.groupBy("claim").agg(F.min("text").alias("text")).withColumns({"query_id": F.col("claim"), "source": F.col("claim"), "terms": T.tokens(F.col("text"))})
+    found = ranking.bm25(docs, claims.select("query_id", "text"), k=6).select("query_id", F.col("id").alias("chunk"))
+    own = said.select(F.col("claim").alias("query_id"), F.col("doc_id").alias("chunk"), F.lit(True).alias("own")).distinct()
+    words = T.tokens(F.col("body"))
+    bodies = docs.select(F.col("doc_id").alias("chunk"), F.col("text").alias("body"), F.lit("").alias("said")).unionByName(said.select(F.col("doc_id").alias("chunk"), F.col("text").alias("body"), F.col("claim").alias("said"))).distinct().withColumn("words", words)
+    held = found.join(own, ["query_id", "chunk"], "full").join(bodies, "chunk").where("said <> query_id")
+    held = held.withColumn("other", F.when(F.col("own"), F.col("query_id")).otherwise(F.lit("")))
+    return K.linked(claims, held.drop("own", "said"), T.jaccard(F.col("terms"), F.col("words")))
 
 
 @query(
