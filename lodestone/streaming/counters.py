@@ -1,4 +1,4 @@
-"""Counters over event streams: usage, errors, feedback, incremental ingest.
+"""Counters over event streams: usage, errors, feedback, sessions.
 
 Every function takes a streaming or a batch DataFrame of events and returns the aggregate; the
 watermark bounds state, and what is later than it is dropped. ``run_available`` drives one to the
