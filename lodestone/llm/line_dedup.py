@@ -1,20 +1,26 @@
 """Line dedup within an edit bound, by a deletion-neighbourhood join.
 
-A line is what stands between line feeds; it is read as its words. The edit bound is one
-word (inserted, deleted or exchanged) for lines of ``least_words`` or more, and none for
-shorter ones, where one word is too large a part. A line is removed if an earlier line is
-within the bound; earlier means a smaller document id (null first), then the row, then the
-place in the document. Lines without words are never removed.
+A line is what stands between line feeds; it is read as its words. The edit bound is one unit
+(inserted, deleted or exchanged) in ``least_units``: the units of a line with that many words
+or more are its words, those of any other line are its characters (words joined by one space),
+and a line with fewer characters than that has a bound of 0. Lines with different units are
+not within a bound of each other. A line is removed if an earlier line is within the bound;
+earlier means a smaller document id (null first), then the row, then the place in the
+document. Lines without words are never removed.
 
 1. Every line becomes two 64-bit hashes of its words. Lines with equal hashes are one
    distinct line with its earliest place.
-2. Of two lines one edit apart, the first or the last half of the words is equal. Distinct
+2. Of two lines one edit apart, the first or the last half of the units is equal. Distinct
    lines that share no half with another leave here, without loss.
 3. The others emit their deletion neighbourhood as hashed keys: the line itself and the line
-   without its i-th word, for each i. Equal keys are joined: with equal i they are an
-   exchange, against a whole line they are an insertion. Each line meets only the earliest
-   of a key, found by partial aggregation, so no group is expanded into pairs.
-4. The edit is checked on the words of both lines.
+   without its i-th unit, for each i outside the half that is shared. Equal keys are joined:
+   with equal length and i they are an exchange, against a whole line they are an insertion.
+   Each line meets only the earliest of a key, found by aggregation, so no group is expanded
+   into pairs.
+4. The edit is checked on the units of both lines.
+
+Texts are written once and stay where they are: each step sends back the few numbers that it
+has found about a row (``placed``). Joins are sort-merge joins at every size.
 
 Null text has no lines. Every row is a document of its own, repeated ids too.
 """
@@ -29,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.ngram_join import MEMBER_BITS, bitmap, slot
+from lodestone.llm.placed import Placed, placed
 from lodestone.llm.store import stored
 from lodestone.llm.words import Words, mix, powers, slices
 
@@ -37,10 +43,13 @@ _U = np.uint64
 _SEQ = _U(0xD1342543DE82EF95)
 _INVERSE = _U(pow(int(_SEQ), -1, 1 << 64))
 _OTHER = _U(0x632BE59BD9B4E019)
+_CHARACTER = _U(0x2545F4914F6CDD1D)
+#: Flags of a line whose half is shared: which half it is, and whether a line of another length shares it.
+_FIRST, _LAST, _LENGTHS = 1, 2, 4
 
 
 class _Runs:
-    """Hashes of any runs of words, from running sums."""
+    """Hashes of any runs of units, from running sums."""
 
     def __init__(self, hashes: np.ndarray):
         n = len(hashes)
@@ -49,7 +58,7 @@ class _Runs:
         self.power = powers(_SEQ, n + 1)
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The finalised sum of h[i] * SEQ ** (b - 1 - i) over a <= i < b; 0 words give the hash of nothing."""
+        """The finalised sum of h[i] * SEQ ** (b - 1 - i) over a <= i < b; 0 units give the hash of nothing."""
         return mix((self.sums[b] - self.sums[a]) * self.power[np.maximum(b - 1, 0)])
 
 
@@ -59,7 +68,27 @@ def _lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return parts.flatten(), np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
 
 
-def _line_rows(keyed: DataFrame, least_words: int) -> DataFrame:
+def _units(lines: pa.Array, words: Words, some: np.ndarray, least_units: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the units of the lines ``some``, one after another, and where each line's units begin. A line with a bound of 0 has none."""
+    counts = words.counts[some]
+    short = np.flatnonzero(counts < least_units)
+    spelt = [np.frombuffer(b" ".join((lines[some[i]].as_py() or "").encode().split()).decode().encode("utf-32-le"), np.uint32) for i in short]
+    sizes = counts.copy()
+    sizes[short] = [len(x) if len(x) >= least_units else 0 for x in spelt]
+    first = np.append(0, np.cumsum(sizes))
+    out = np.zeros(first[-1], np.uint64)
+    wordy = np.repeat(counts >= least_units, sizes)
+    own = np.repeat(counts >= least_units, counts)
+    at = np.concatenate([np.arange(words.first[i], words.first[i + 1]) for i in some]) if len(some) else np.zeros(0, np.int64)
+    out[wordy] = words.hashes[at[own]]
+    if (~wordy).any():
+        out[~wordy] = mix(np.concatenate([x for x in spelt if len(x) >= least_units]).astype(np.uint64) ^ _CHARACTER)
+    return out, first
+
+
+def _line_rows(keyed: DataFrame, least_units: int) -> DataFrame:
+    """Every line with words: its place, the number of its units, two hashes of its words, and hashes of its first and last halves in turn."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch["text"]):
@@ -69,100 +98,125 @@ def _line_rows(keyed: DataFrame, least_words: int) -> DataFrame:
                 if not len(some):
                     continue
                 begin, end = words.first[:-1][some], words.first[1:][some]
-                runs, other = _Runs(words.hashes), _Runs(mix(words.hashes ^ _OTHER))
+                whole, other = _Runs(words.hashes).of(begin, end), _Runs(mix(words.hashes ^ _OTHER)).of(begin, end)
+                units, first = _units(lines, words, some, least_units)
+                runs, begin, end = _Runs(units), first[:-1], first[1:]
                 n = end - begin
+                kind = np.where(words.counts[some] >= least_units, _U(0), _CHARACTER)
                 halves = np.zeros((len(some), 4), np.uint64)
-                for i, size in enumerate((n // 2, (n - 1) // 2)):
-                    halves[:, 2 * i] = runs.of(begin, begin + size) ^ mix(size.astype(np.uint64))
-                    halves[:, 2 * i + 1] = runs.of(end - size, end) ^ mix(size.astype(np.uint64) + _OTHER)
-                keep = np.repeat((n >= least_words)[:, None], 4, 1)
+                for i, size in enumerate((n // 2, np.maximum(n - 1, 0) // 2)):
+                    halves[:, 2 * i] = mix(runs.of(begin, begin + size) ^ mix(size.astype(np.uint64)) ^ kind)
+                    halves[:, 2 * i + 1] = mix(runs.of(end - size, end) ^ mix(size.astype(np.uint64) + _OTHER) ^ kind)
+                keep = np.repeat((n > 0)[:, None], 4, 1)
                 keep[:, 2:] &= (n % 2 == 0)[:, None]
                 offsets = np.append(0, np.cumsum(keep.sum(1))).astype(np.int32)
                 place = np.arange(len(lines)) - np.searchsorted(doc, doc)
+                at = pa.array(doc[some])
                 yield pa.RecordBatch.from_arrays(
-                    [batch["id"].slice(a, b - a).take(pa.array(doc[some])), batch["row"].slice(a, b - a).take(pa.array(doc[some])), pa.array(place[some].astype(np.int32)), pa.array(n.astype(np.int32)),
-                     pa.array(runs.of(begin, end).view(np.int64)), pa.array(other.of(begin, end).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(halves[keep].view(np.int64)))],
+                    [batch["id"].slice(a, b - a).take(at), batch["row"].slice(a, b - a).take(at), pa.array(place[some].astype(np.int32)), pa.array(n.astype(np.int32)),
+                     pa.array(whole.view(np.int64)), pa.array(other.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(halves[keep].view(np.int64)))],
                     ["id", "row", "line", "n", "h", "g", "halves"],
                 )
 
     kind = dict(keyed.dtypes)["id"]
-    return keyed.mapInArrow(run, f"id {kind}, row long, line int, n int, h long, g long, halves array<long>")
-
-
-def _neighbourhood(docs: DataFrame) -> DataFrame:
-    """For the lines ``wanted`` of each document: their word hashes, and keys of the line (at -1) and of it without each word."""
+    return keyed.select("id", "row", "text").mapInArrow(run, f"id {kind}, row long, line int, n int, h long, g long, halves array<long>")
+
+
+def _picked(batch: pa.RecordBatch, least_units: int) -> Iterator[tuple]:
+    """For slices of texts with ``wanted`` (line, flags), which may name a line repeatedly: ids, rows, lines and flags of these lines, their units and where each line's begin."""
+    for a, b in slices(batch["text"]):
+        lines, doc = _lines(batch["text"].slice(a, b - a))
+        begin = np.searchsorted(doc, np.arange(b - a))
+        wanted = batch["wanted"].slice(a, b - a)
+        owner = np.repeat(np.arange(b - a), pc.list_value_length(wanted).to_numpy())
+        entries = wanted.flatten()
+        places, told = (entries.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+        pick, inverse = np.unique(begin[owner] + places, return_inverse=True)
+        flags = np.zeros(len(pick), np.int32)
+        np.bitwise_or.at(flags, inverse, told)
+        chosen = lines.take(pa.array(pick))
+        units, first = _units(chosen, Words(chosen), np.arange(len(pick)), least_units)
+        of = pa.array(doc[pick])
+        yield batch["id"].slice(a, b - a).take(of), batch["row"].slice(a, b - a).take(of), (pick - begin[doc[pick]]).astype(np.int32), flags, units, first
+
+
+def _neighbourhood(texts: DataFrame, least_units: int) -> DataFrame:
+    """For the lines ``wanted``: keys of the line and of it without each unit from ``start`` on, as far as the shared halves leave units in doubt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch["text"]):
-                lines, doc = _lines(batch["text"].slice(a, b - a))
-                wanted = batch["wanted"].slice(a, b - a)
-                begin_of = np.searchsorted(doc, np.arange(b - a))
-                pick = np.concatenate([begin_of[i] + np.asarray(w.values) for i, w in enumerate(wanted)]).astype(np.int64)
-                words = Words(lines.take(pa.array(pick)))
-                begin, end, n = words.first[:-1], words.first[1:], words.counts
-                runs = _Runs(words.hashes)
-                line = np.repeat(np.arange(len(pick)), n)
-                at = np.arange(len(words.hashes))
-                low, high = begin[line], end[line]
-                # the words before ``at`` move one place to the right end
-                without = mix((runs.sums[at] - runs.sums[low]) * runs.power[high - 1] * _INVERSE + (runs.sums[high] - runs.sums[at + 1]) * runs.power[high - 1])
-                keys = np.concatenate([runs.of(begin, end), without])
-                owner = np.concatenate([np.arange(len(pick)), line])
-                place = np.concatenate([np.full(len(pick), -1), at - low])
-                order = np.argsort(owner, kind="stable")
-                offsets = np.append(0, np.cumsum(n + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["id"].slice(a, b - a).take(pa.array(doc[pick])), batch["row"].slice(a, b - a).take(pa.array(doc[pick])), pa.array((pick - begin_of[doc[pick]]).astype(np.int32)), pa.array(n.astype(np.int32)),
-                     pa.ListArray.from_arrays(pa.array(words.first.astype(np.int32)), pa.array(words.hashes.view(np.int64))),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[order].view(np.int64))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[order].astype(np.int32)))],
-                    ["id", "row", "line", "n", "words", "keys", "at"],
-                )
+            for ids, rows, places, flags, units, first in _picked(batch, least_units):
+                low, high = first[:-1], first[1:]
+                n = high - low
+                half = np.maximum(n - 1, 0) // 2
+                start = np.where(flags & _LAST, 0, half)
+                stop = np.where(flags & _FIRST, n, n - half)
+                size = stop - start
+                line = np.repeat(np.arange(len(places)), size)
+                at = np.arange(len(line)) - np.repeat(np.append(0, np.cumsum(size))[:-1], size) + (low + start)[line]
+                runs = _Runs(units)
+                # the units before ``at`` move one place to the right end
+                without = mix((runs.sums[at] - runs.sums[low[line]]) * runs.power[high[line] - 1] * _INVERSE + (runs.sums[high[line]] - runs.sums[at + 1]) * runs.power[high[line] - 1])
+                keys = np.insert(without, np.append(0, np.cumsum(size))[:-1], runs.of(low, high))
+                offsets = pa.array(np.append(0, np.cumsum(size + 1)).astype(np.int32))
+                columns = [ids, rows, pa.array(places), pa.array(n.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(flags & _LENGTHS > 0), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "row", "line", "n", "start", "lengths", "keys"])
+
+    kind = dict(texts.dtypes)["id"]
+    return texts.select("id", "row", "text", "wanted").mapInArrow(run, f"id {kind}, row long, line int, n int, start int, lengths boolean, keys array<long>")
+
+
+def _spelt(texts: DataFrame, least_units: int) -> DataFrame:
+    """The units of the lines ``wanted``, as hashes."""
 
-    kind = dict(docs.dtypes)["id"]
-    return docs.select("id", "row", "text", "wanted").mapInArrow(run, f"id {kind}, row long, line int, n int, words array<long>, keys array<long>, at array<int>")
-
-
-def _split(keyed: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Documents that may be among ``members`` (row), and those that are not, by a bitmap of fixed size where texts are read.
-
-    Too many members for the bitmap: all documents may be, and the join that follows decides.
-    """
-    if members.count() > MEMBER_BITS // 4:
-        return keyed, None
-    bits, columns = bitmap(members.select(F.col("row").alias("id"))), keyed.columns
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, rows, places, _, units, first in _picked(batch, least_units):
+                yield pa.RecordBatch.from_arrays([rows, pa.array(places), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(units.view(np.int64)))], ["row", "line", "units"])
 
-    def side(inside: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch["slot"].to_numpy()
-                yield batch.filter(pa.array(((bits[at >> 6] >> (at & 63)) & 1 == 1) == inside)).select(columns)
+    return texts.select("id", "row", "text", "wanted").mapInArrow(run, "row long, line int, units array<long>")
 
-        return keyed.withColumn("slot", slot(F.col("row"))).mapInArrow(run, keyed.schema)
 
-    return side(True), side(False)
+def _wanted(keyed: Placed, lines: DataFrame) -> DataFrame:
+    """The texts of some lines (row, line, flags)."""
+    return keyed.beside(keyed.per_row(lines, F.collect_list(F.struct("line", "flags")).alias("wanted")))
 
 
-def _near(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
+def _near(keyed: Placed, distinct: DataFrame, least_units: int) -> DataFrame:
     """Places (row, line) of distinct lines that an earlier one is one edit away from."""
-    halves = distinct.select(F.col("o.row").alias("row"), F.col("o.line").alias("line"), F.explode("halves").alias("half"))
-    common = halves.groupBy("half").count().where("count > 1").select("half")
-    wanted = halves.join(common, "half").select("row", "line").distinct().groupBy("row").agg(F.collect_list("line").alias("wanted"))
-    wanted = stored(wanted, "wanted").df
-    table = stored(_neighbourhood(_split(keyed, wanted)[0].join(wanted, "row")), "neighbourhood").df.withColumn("o", F.struct("id", "row", "line"))
-    forms = stored(table.select("o", "n", F.explode(F.arrays_zip("keys", "at")).alias("k")).select("o", "n", F.col("k.keys").alias("key"), F.col("k.at").alias("at")), "forms").df
-    cut, whole = forms.where("at >= 0"), forms.where("at < 0").select(F.col("o").alias("w"), (F.col("n") + 1).alias("n"), "key")
-    first = cut.groupBy("key", "n", "at").agg(F.min("o").alias("w"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    swapped = cut.join(first, ["key", "n", "at"]).where(F.col("w") < F.col("o")).select("o", "w", "at", F.lit("swap").alias("how"))
-    shorter = cut.join(whole, ["key", "n"])
-    inserted = shorter.where(F.col("w") < F.col("o")).select("o", "w", "at", F.lit("cut").alias("how"))
+    halves = distinct.select("row", "line", "n", F.posexplode("halves").alias("side", "half"))
+    common = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("n").alias("most")).where("c > 1").select("half", (F.col("least") < F.col("most")).alias("lengths"))
+    flags = F.when(F.col("side") % 2 == 0, F.lit(_FIRST)).otherwise(F.lit(_LAST)) + F.when(F.col("lengths"), F.lit(_LENGTHS)).otherwise(F.lit(0))
+    shared = stored(halves.join(common.hint("merge"), "half").select("row", "line", flags.alias("flags")), "shared")
+    table = stored(_neighbourhood(_wanted(keyed, shared.df), least_units), "neighbourhood")
+    shared.drop()
+
+    place = F.struct("id", "row", "line")
+    forms = table.df.select("n", "start", "lengths", place.alias("o"), F.posexplode("keys").alias("i", "key"))
+    cut = forms.where("i > 0").withColumn("at", F.col("start") + F.col("i") - 1)
+    exchanged = cut.select(F.xxhash64("key", "n", "at").alias("form"), "o", "at")
+    several = exchanged.groupBy("form").count().where("count > 1").select("form")
+    met = stored(exchanged.join(several.hint("merge"), "form"), "met")
+    first = met.df.groupBy("form").agg(F.min("o").alias("w"))
+    swapped = met.df.join(first.hint("merge"), "form").where(F.col("w") < F.col("o")).select("o", "w", "at", F.lit("swap").alias("how"))
+    whole = forms.where("i = 0 and lengths").select(F.col("o").alias("w"), (F.col("n") + 1).alias("n"), "key")
+    shorter = stored(cut.where("lengths").select("key", "n", "o", "at").join(whole.hint("merge"), ["key", "n"]).select("o", "w", "at"), "shorter")
+    inserted = shorter.df.where(F.col("w") < F.col("o")).withColumn("how", F.lit("cut"))
     # a whole line against the earliest longer line that holds it
-    grown = shorter.where(F.col("o") < F.col("w")).groupBy("w").agg(F.min(F.struct("o", "at")).alias("m")).select(F.col("w").alias("o"), F.col("m.o").alias("w"), F.col("m.at").alias("at"), F.lit("grow").alias("how"))
-    pairs = swapped.unionByName(inserted).unionByName(grown)
-    own, other = table.select("o", F.col("words").alias("x")), table.select(F.col("o").alias("w"), F.col("words").alias("y"))
-    cutting = lambda words: F.concat(F.slice(words, F.lit(1), F.col("at")), F.slice(words, F.col("at") + 2, F.size(words)))
-    same = F.when(F.col("how") == "swap", cutting(F.col("x")) == cutting(F.col("y"))).when(F.col("how") == "cut", cutting(F.col("x")) == F.col("y")).otherwise(F.col("x") == cutting(F.col("y")))
-    return pairs.join(own, "o").join(other, "w").where(same).select("o.row", "o.line").distinct()
+    grown = shorter.df.where(F.col("o") < F.col("w")).groupBy("w").agg(F.min(F.struct("o", "at")).alias("m")).select(F.col("w").alias("o"), F.col("m.o").alias("w"), F.col("m.at").alias("at"), F.lit("grow").alias("how"))
+    pairs = stored(swapped.unionByName(inserted).unionByName(grown), "pairs").df
+    for done in (table, met, shorter):
+        done.drop()
+
+    members = pairs.select(F.explode(F.array("o", "w")).alias("m")).select("m.row", "m.line", F.lit(0).alias("flags")).distinct()
+    spelt = stored(_spelt(_wanted(keyed, members), least_units), "spelt").df
+    side = lambda of, units: spelt.select(F.col("row").alias(f"{of}_row"), F.col("line").alias(f"{of}_line"), F.col("units").alias(units)).hint("merge")
+    flat = pairs.select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ow" for c in ("row", "line")), "at", "how")
+    cutting = lambda units: F.concat(F.slice(units, F.lit(1), F.col("at")), F.slice(units, F.col("at") + 2, F.size(units)))
+    x, y = F.col("x"), F.col("y")
+    same = F.when(F.col("how") == "swap", cutting(x) == cutting(y)).when(F.col("how") == "cut", cutting(x) == y).otherwise(x == cutting(y))
+    checked = flat.join(side("o", "x"), ["o_row", "o_line"]).join(side("w", "y"), ["w_row", "w_line"]).where(same)
+    return checked.select(F.col("o_row").alias("row"), F.col("o_line").alias("line")).distinct()
 
 
 def _without(docs: DataFrame) -> DataFrame:
@@ -181,17 +235,21 @@ def _without(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text", "gone").mapInArrow(run, f"id {kind}, n_lines long, n_removed long, text string")
 
 
-def remove_lines(docs: DataFrame, least_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_lines, n_removed and text, the kept lines."""
-    keyed = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "keyed").df
-    lines = stored(_line_rows(keyed, least_words), "lines").df
+def remove_lines(docs: DataFrame, least_units: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, n_lines, n_removed and text, the kept lines.
+
+    The result is a table in the shared folder; all others are deleted when this returns.
+    """
+    keyed = placed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    lines = stored(_line_rows(keyed.df, least_units), "lines")
     place = F.struct("id", "row", "line")
-    distinct = stored(lines.groupBy("h", "g").agg(F.min(F.struct(place.alias("o"), "halves")).alias("x")).select("h", "g", "x.o", "x.halves"), "distinct").df
-    near = stored(_near(keyed, distinct), "near").df
-    later = lines.join(distinct.select("h", "g", F.col("o.row").alias("r"), F.col("o.line").alias("l")), ["h", "g"]).where((F.col("row") != F.col("r")) | (F.col("line") != F.col("l"))).select("row", "line")
-    gone = stored(later.unionByName(near).groupBy("row").agg(F.collect_list("line").alias("gone")), "gone").df
-    some, rest = _split(keyed, gone)
-    out = _without(some.join(gone, "row", "left"))
-    if rest is not None:
-        out = out.unionByName(_without(rest.withColumn("gone", F.lit(None).cast("array<int>"))))
+    grouped = lines.df.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(place.alias("o"), "n", "halves")).alias("x"))
+    distinct = stored(grouped.select("h", "g", "c", "x.o.row", "x.o.line", "x.n", "x.halves"), "distinct")
+    near = stored(_near(keyed, distinct.df, least_units), "near")
+    copied = distinct.df.where("c > 1").select("h", "g", F.col("row").alias("r"), F.col("line").alias("l"))
+    later = lines.df.select("h", "g", "row", "line").join(copied.hint("merge"), ["h", "g"]).where((F.col("row") != F.col("r")) | (F.col("line") != F.col("l"))).select("row", "line")
+    gone = keyed.per_row(later.unionByName(near.df), F.collect_list("line").alias("gone"))
+    out = stored(_without(keyed.beside(gone, "left")), "kept_lines").df
+    for done in (lines, distinct, near, keyed):
+        done.drop()
     return out.withColumnRenamed("id", id_col)
