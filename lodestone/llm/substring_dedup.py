@@ -10,11 +10,15 @@ window holds a whole block that begins at a multiple of ``block`` in its documen
    extended: all windows that hold it are hashed whole and meet in the same way. A window
    met twice is repeated; the union of the repeated windows at a place is a maximal repeat.
 
+Blocks meet by 38 bits of their hash, which can only add work; whole windows meet by 126 bits
+of two hashes.
+
 Both meetings use one exchange of packed rows: a map task sorts the entries of a few
 megabytes of text by bucket and sends one binary row for each bucket, about 8 bytes for a
 probe. Inside such a piece, members of one hash become one entry that says so, so a passage
 that a third of all documents hold reaches its bucket once per piece of text and not once per
-document. Steps write their results to the shared folder; text moves only to meet hits.
+document. The number of buckets follows the bytes of the texts, so a bucket has one size at
+every input. Texts are written once and stay where they are; hits come to them (``placed``).
 
 Null text has no words. Documents with fewer words than a window keep all of them. Every
 row is a document of its own, also when ids are null or repeated: repeated rows hold the
@@ -30,11 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.store import stored
+from lodestone.llm.placed import Placed, part_of, placed
+from lodestone.llm.store import stored, written_bytes
 from lodestone.llm.words import Words, slices
 
 #: Rows of a piece of text at most, as a power of two: neighbours in one partition.
-SLICE = 9
+SLICE = 6
+#: Bytes of written (compressed) text for each bucket; its entries take about four times as many in a worker's memory.
+BUCKET_BYTES = 4 << 20
 _U = np.uint64
 _ENTRY = "bucket int, base long, keys binary, rows binary, places binary, found boolean"
 _NAMES = ["bucket", "base", "keys", "rows", "places", "found"]
@@ -54,8 +61,11 @@ def _wide(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(data) // n]).astype(np.int64) if n else np.zeros(0, np.int64)
 
 
-def _packed(hashes: np.ndarray, rows: np.ndarray, places: np.ndarray, anchors: np.ndarray, buckets: int, width: int) -> pa.RecordBatch:
-    """Entries of one piece of text by bucket; members of a hash that the piece has several times are given out as found."""
+def _packed(hashes: np.ndarray, others: np.ndarray | None, rows: np.ndarray, places: np.ndarray, anchors: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Entries of one piece of text by bucket; members of a hash that the piece has several times are given out as found.
+
+    A key has 5 bytes of ``hashes`` or, if there are ``others``, 16 bytes of both; its two lowest bits are flags.
+    """
     out: list[list] = [[] for _ in _NAMES]
 
     def put(bucket, keys, row, place, found):
@@ -66,10 +76,11 @@ def _packed(hashes: np.ndarray, rows: np.ndarray, places: np.ndarray, anchors: n
         out[4].append(_small(place))
         out[5].append(found)
 
-    order = np.argsort(hashes, kind="stable")
-    h = hashes[order]
+    pair = (np.zeros(len(hashes), np.uint64), hashes >> _U(24) << _U(2)) if others is None else (hashes, others & ~_U(3))
+    order = np.lexsort((pair[1], hashes))
+    h, g = hashes[order], pair[1][order]
     fresh = np.ones(len(h), bool)
-    fresh[1:] = h[1:] != h[:-1]
+    fresh[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
     begin = np.flatnonzero(fresh)
     size = np.diff(np.append(begin, len(h)))
     several = order[np.repeat(size > 1, size)]
@@ -80,9 +91,10 @@ def _packed(hashes: np.ndarray, rows: np.ndarray, places: np.ndarray, anchors: n
         flags = np.where(size > 1, _SEVERAL, _U(0)) | np.where(np.maximum.reduceat(anchors[order], begin), _ANCHOR, _U(0))
         one = order[begin]
         bucket = (h[begin] % _U(buckets)).astype(np.int64)
-        key = (h[begin] >> _U(24) << _U(2) if width == 5 else h[begin] & ~_U(3)) | flags
+        key = np.stack([pair[0][one], g[begin] | flags], axis=1)
         by = np.lexsort((places[one], rows[one], bucket))
-        one, bucket, key = one[by], bucket[by], np.ascontiguousarray(key[by]).view(np.uint8).reshape(-1, 8)[:, :width]
+        one, bucket, key = one[by], bucket[by], np.ascontiguousarray(key[by]).view(np.uint8).reshape(-1, 16)
+        key = key[:, 8:13] if others is None else key
         edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
         for a, b in zip(edges[:-1], edges[1:]):
             put(int(bucket[a]), key[a:b].tobytes(), rows[one[a:b]], places[one[a:b]], False)
@@ -98,19 +110,19 @@ def _meet(width: int, anchored: bool):
             n = len(key) if found else len(key) // width
             rows.append(base + np.cumsum(_wide(row, n)))
             places.append(_wide(place, n))
-            full = np.zeros((n, 8), np.uint8)
+            full = np.zeros((n, 16), np.uint8)
             if not found:
-                full[:, :width] = np.frombuffer(key, np.uint8).reshape(n, width)
-            keys.append(full.view(np.uint64).ravel())
+                full[:, slice(8, 13) if width == 5 else slice(0, 16)] = np.frombuffer(key, np.uint8).reshape(n, width)
+            keys.append(full.view(np.uint64))
             known.append(np.full(n, found))
         keys, rows, places, known = (np.concatenate(x) for x in (keys, rows, places, known))
         new = np.flatnonzero(~known)
-        order = new[np.argsort(keys[new] >> _U(2), kind="stable")]
-        h = keys[order]
+        order = new[np.lexsort((keys[new, 1] >> _U(2), keys[new, 0]))]
+        h, first = keys[order, 1], keys[order, 0]
         hit = np.zeros(0, np.int64)
         if len(h):
             fresh = np.ones(len(h), bool)
-            fresh[1:] = (h[1:] >> _U(2)) != (h[:-1] >> _U(2))
+            fresh[1:] = ((h[1:] >> _U(2)) != (h[:-1] >> _U(2))) | (first[1:] != first[:-1])
             begin = np.flatnonzero(fresh)
             size = np.diff(np.append(begin, len(h)))
             good = size > 1
@@ -146,10 +158,6 @@ def _places(answers: pa.Table) -> dict[int, np.ndarray]:
     return dict(zip((docs[first].astype(np.int64) + (answers["slice"][0].as_py() << SLICE)).tolist(), np.split(places, first[1:])))
 
 
-def _buckets(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def _probes(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     block = (window + 1) // 2
 
@@ -164,12 +172,19 @@ def _probes(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 hashes, at, doc = hashes[enough], at[enough], doc[enough]
                 places = at - words.first[doc]
                 if len(hashes):
-                    yield _packed(hashes, row[a:b][doc], places, places % block == 0, buckets, 5)
+                    yield _packed(hashes, None, row[a:b][doc], places, places % block == 0, buckets)
 
     return docs.select("row", "text").mapInArrow(run, _ENTRY)
 
 
-def _windows(docs: DataFrame, hits: DataFrame, window: int, buckets: int) -> DataFrame:
+def _beside(docs: Placed, answers: DataFrame):
+    """Texts and answers of one slice of rows together; only the answers move."""
+    slices = docs.df.withColumn("slice", F.shiftright("row", SLICE))
+    dealt = answers.withColumn("part", part_of(F.call_function("shiftleft", F.col("slice"), F.lit(SLICE)))).repartition(docs.buckets, "part")
+    return slices.groupBy("part", "slice").cogroup(dealt.groupBy("part", "slice"))
+
+
+def _windows(docs: Placed, hits: DataFrame, window: int, buckets: int) -> DataFrame:
     """Whole windows around the hits of each document."""
     block = (window + 1) // 2
 
@@ -186,16 +201,17 @@ def _windows(docs: DataFrame, hits: DataFrame, window: int, buckets: int) -> Dat
                     np.add.at(near, words.first[i] + found[r] + 1, -1)
                 near = np.cumsum(near) > 0
                 hashes, at = words.runs(window)
+                others = words.runs(window, other=True)[0][near[at]]
                 hashes, at = hashes[near[at]], at[near[at]]
                 if len(hashes):
                     doc = np.repeat(np.arange(b - a), words.counts)[at]
-                    out.append(_packed(hashes, row[a:b][doc], at - words.first[doc], np.ones(len(at), bool), buckets, 8))
+                    out.append(_packed(hashes, others, row[a:b][doc], at - words.first[doc], np.ones(len(at), bool), buckets))
         return pa.Table.from_batches(out) if out else _EMPTY
 
-    return docs.select("slice", "row", "text").groupBy("slice").cogroup(hits.groupBy("slice")).applyInArrow(run, _ENTRY)
+    return _beside(docs, hits).applyInArrow(run, _ENTRY)
 
 
-def _kept(docs: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
+def _kept(docs: Placed, repeats: DataFrame, window: int) -> DataFrame:
     """Documents without the words of the repeated windows."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
@@ -214,15 +230,22 @@ def _kept(docs: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
             out.append(b" ".join(words))
         return pa.table([texts["id"], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "text"])
 
-    kind = dict(docs.dtypes)["id"]
-    return docs.groupBy("slice").cogroup(repeats.groupBy("slice")).applyInArrow(run, f"id {kind}, n_words long, n_removed long, text string")
+    kind = dict(docs.df.dtypes)["id"]
+    return _beside(docs, repeats).applyInArrow(run, f"id {kind}, n_words long, n_removed long, text string")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_words, n_removed and text, the kept words joined by one space."""
-    buckets = _buckets(docs)
-    keyed = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "keyed").df.withColumn("slice", F.shiftright("row", SLICE))
+    """One row per row of ``docs``: id, n_words, n_removed and text, the kept words joined by one space.
+
+    The result is a table in the shared folder; all others are deleted when this returns.
+    """
+    keyed = placed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    buckets = -(-max(1, written_bytes(docs.sparkSession, keyed.path)) // BUCKET_BYTES)
     found = "slice long, docs array<int>, places array<int>"
-    hits = stored(_probes(keyed, window, buckets).groupBy("bucket").applyInArrow(_meet(5, True), found), "hits").df
-    repeats = stored(_windows(keyed, hits, window, buckets).groupBy("bucket").applyInArrow(_meet(8, False), found), "repeats").df
-    return _kept(keyed, repeats, window).withColumnRenamed("id", id_col)
+    hits = stored(_probes(keyed.df, window, buckets).groupBy("bucket").applyInArrow(_meet(5, True), found), "hits")
+    repeats = stored(_windows(keyed, hits.df, window, buckets).groupBy("bucket").applyInArrow(_meet(16, False), found), "repeats")
+    hits.drop()
+    out = stored(_kept(keyed, repeats.df, window), "kept_words").df
+    repeats.drop()
+    keyed.drop()
+    return out.withColumnRenamed("id", id_col)

@@ -22,6 +22,7 @@ SLICE_BYTES = 1 << 20
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _SEQ = _U(0xD1342543DE82EF95)
+_OTHER = _U(0x632BE59BD9B4E019)
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BYTES = np.random.default_rng(0x5EED).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
@@ -89,21 +90,21 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all runs of k consecutive words of one text, and the word at which each begins."""
-        total = len(self.hashes)
+    def runs(self, k: int, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of k consecutive words of one text, and the word at which each begins; ``other``: a second hash of the same runs."""
+        each, total = mix(self.hashes ^ _OTHER) if other else self.hashes, len(self.hashes)
         if total < k:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if k <= 6:
-            acc = self.hashes[: total - k + 1].copy()
+            acc = each[: total - k + 1].copy()
             for j in range(1, k):
                 acc *= _SEQ
-                acc += self.hashes[j : total - k + 1 + j]
+                acc += each[j : total - k + 1 + j]
         else:
             # acc_i = sum of h[i + j] * SEQ ** (k - 1 - j), from running sums with inverse powers
             inverse = powers(_U(pow(int(_SEQ), -1, 1 << 64)), total)
             sums = np.zeros(total + 1, np.uint64)
-            np.cumsum(self.hashes * inverse, out=sums[1:])
+            np.cumsum(each * inverse, out=sums[1:])
             acc = (sums[k:] - sums[:-k]) * powers(_SEQ, total)[k - 1 :]
         last = np.repeat(self.first[1:], self.counts)[: total - k + 1]
         whole = np.arange(total - k + 1) + k <= last
