@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.placed import Placed, part_of, placed
+from lodestone.llm.placed import Placed, placed
 from lodestone.llm.store import stored, written_bytes
 from lodestone.llm.words import Words, slices
 
@@ -180,7 +180,7 @@ def _probes(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 def _beside(docs: Placed, answers: DataFrame):
     """Texts and answers of one slice of rows together; only the answers move."""
     slices = docs.df.withColumn("slice", F.shiftright("row", SLICE))
-    dealt = answers.withColumn("part", part_of(F.call_function("shiftleft", F.col("slice"), F.lit(SLICE)))).repartition(docs.buckets, "part")
+    dealt = docs.dealt(answers, F.call_function("shiftleft", F.col("slice"), F.lit(SLICE)))
     return slices.groupBy("part", "slice").cogroup(dealt.groupBy("part", "slice"))
 
 
@@ -240,7 +240,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     The result is a table in the shared folder; all others are deleted when this returns.
     """
     keyed = placed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    buckets = -(-max(1, written_bytes(docs.sparkSession, keyed.path)) // BUCKET_BYTES)
+    buckets = max(len(keyed.parts), -(-written_bytes(docs.sparkSession, keyed.path) // BUCKET_BYTES))
     found = "slice long, docs array<int>, places array<int>"
     hits = stored(_probes(keyed.df, window, buckets).groupBy("bucket").applyInArrow(_meet(5, True), found), "hits")
     repeats = stored(_windows(keyed, hits.df, window, buckets).groupBy("bucket").applyInArrow(_meet(16, False), found), "repeats")
