@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.store import stored
+from lodestone.llm.store import Steps, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -28,3 +28,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not changed:
             both.drop()
             return new.df.select("node", "label")
+
+
+def merged(labels: DataFrame | None, edges: DataFrame, steps: Steps) -> DataFrame | None:
+    """``labels`` (node, label) after more edges (a, b); None as long as there are no edges.
+
+    New edges are taken between components, so the work of a round follows its own edges and
+    not those of all rounds before.
+    """
+    if not edges.limit(1).count():
+        return labels
+    if labels is None:
+        return connected_components(edges)
+    new = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    every = steps(labels.unionByName(new.select("node", F.col("node").alias("label"))), "nodes")
+    name = lambda x: every.select(F.col("node").alias(x), F.col("label").alias(f"of_{x}"))
+    between = edges.join(name("a"), "a").join(name("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a != b")
+    joined = connected_components(between).select(F.col("node").alias("was"), F.col("label").alias("now"))
+    return steps(every.join(joined, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label")), "labels")

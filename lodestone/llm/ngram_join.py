@@ -1,7 +1,8 @@
 """Jaccard self-join on word shingles with adaptive multi-match prefixes.
 
 A document is the set of its distinct k-word shingles, as 64-bit hashes. Documents with one
-set are one class, so copies meet in a partial aggregation and are never paired.
+set are one class, so copies meet in a partial aggregation and are never paired. A class is
+known by its first row, so null ids and repeated ids link like others.
 
 Shingles have one global order: by their count in a sketch of fixed size over all documents,
 rare first, then by hash. Two sets of sizes x and y with a Jaccard similarity of t or more
@@ -12,16 +13,20 @@ their prefixes share at least the smaller l of the two.
 
 Only prefix shingles of two or more classes make lists. Inside a list, pairs are not all
 made: first every class meets one hub, the class with the fewest shingles before this one;
-then components are found, and only lists that still hold several components go on, with
-hubs 1-15, 16-255, 256-4095 and so on, each against classes of other components. A pair is left
-out if it is in one component already, or if sizes and positions prove that it can't be
-similar enough: at the first shingle that two sets share, no more than the rest of the
-smaller remainder is common to both. So every component is exact, with far fewer pairs than
-a group of near copies has.
-
-Rows with null ids have their set size and a null component. Documents without words have
-size 0 and are their own component. Rows that repeat an id are copies of one document; each
-row's text counts, and the id's component is that of its row.
+then components are found, and only lists that still hold several components go on. Their
+classes have a random order, and the first 16 or so are hubs of the others, then those up to
+256, 4096 and so on, each against classes of other components. No list is numbered in one
+task, and a list closes once it is one component. A pair is left out if it is in one component
+already, or if sizes and positions prove that it can't be similar enough: at the first
+shingle that two sets share, no more than the rest of the smaller remainder is common to
+both. So every component is exact, with far fewer pairs than a group of near copies has.
+
+Texts are written once. They are read for the sketch and for the prefixes, and after that
+only rows of pairs whose prefixes fit give their sets, where they are stored (``placed``).
+
+A row with a null id takes the smallest id of its component, null if there is none. Documents
+without words have size 0 and are their own component. Rows that repeat an id are documents
+like others.
 """
 
 from __future__ import annotations
@@ -30,19 +35,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.components import connected_components
-from lodestone.llm.store import stored
+from lodestone.llm.components import merged
+from lodestone.llm.placed import Placed, placed, placed_whole, restored
+from lodestone.llm.store import Steps, stored
 from lodestone.llm.words import Words, mix, shingle_sets, slices
 
 #: Counters of the sketch and of one of the rows in which it travels; its size never depends on the data.
 WIDTH, BLOCK = 1 << 18, 1 << 12
-#: Bits of the map of ids whose sets are needed. Up to a quarter as many ids are looked up in it where the texts are read; more of them are joined.
-MEMBER_BITS = 1 << 23
 #: The most shared prefix shingles that a document may ask for.
 MOST_SHARED = 4
+#: Hubs of the first round after the one with a single hub, and by how much later rounds have more.
+HUBS = 16
 _SHIFT = np.uint64(64 - 18)
 
 
@@ -92,20 +98,12 @@ def shared_wanted(costs: np.ndarray, need: int) -> int:
     return best
 
 
-def summaries(docs: DataFrame, k: int, percent: int, counts: np.ndarray, with_set: bool, only: np.ndarray | None = None) -> DataFrame:
-    """One row per row of ``docs`` (id, text): id, n, c1 and c2 (which name its set), wanted, prefix and, if asked for, the set.
-
-    ``only``: a bitmap of ``MEMBER_BITS`` bits; other ids are left out before their texts are read.
-    """
+def summaries(texts: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
+    """One row per row of ``texts`` (row, id, text): row, id, n, c1 and c2 (which name its set), wanted and prefix."""
     load = counts.sum() / WIDTH
 
-    def chosen(batches):
-        for batch in batches:
-            slot = batch["slot"].to_numpy()
-            yield batch.filter(pa.array((only[slot >> 6] >> (slot & 63)) & 1 == 1))
-
     def run(batches):
-        for part, hashes, first in _sets(batches if only is None else chosen(batches), k):
+        for part, hashes, first in _sets(batches, k):
             n = np.diff(first)
             seen = counts[(hashes >> _SHIFT).astype(np.int64)]
             cost = np.maximum(seen - load, 1.0) - 1.0
@@ -124,28 +122,20 @@ def summaries(docs: DataFrame, k: int, percent: int, counts: np.ndarray, with_se
                 need = -(-percent * (b - a) // 100)
                 wanted[i] = shared_wanted(cost[a:b][order], int(need))
                 prefix.append(signed[a:b][order[: b - a - need + wanted[i]]])
-            columns = [part["id"], pa.array(n), pa.array(names[0]), pa.array(names[1]), pa.array(wanted), _lists(prefix)]
-            columns += [_lists([signed[a:b] for a, b in zip(first[:-1], first[1:])])] if with_set else []
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "c1", "c2", "wanted", "prefix", *["shingles"] * with_set])
+            yield pa.RecordBatch.from_arrays([part["row"], part["id"], pa.array(n), pa.array(names[0]), pa.array(names[1]), pa.array(wanted), _lists(prefix)], ["row", "id", "n", "c1", "c2", "wanted", "prefix"])
 
-    kind = dict(docs.dtypes)["id"]
-    if only is not None:
-        docs = docs.withColumn("slot", slot(F.col("id")))
-    return docs.mapInArrow(run, f"id {kind}, n long, c1 long, c2 long, wanted int, prefix array<long>" + ", shingles array<long>" * with_set)
+    kind = dict(texts.dtypes)["id"]
+    return texts.select("row", "id", "text").mapInArrow(run, f"row long, id {kind}, n long, c1 long, c2 long, wanted int, prefix array<long>")
 
 
-def slot(member: Column) -> Column:
-    return F.pmod(F.xxhash64(member), F.lit(MEMBER_BITS))
+def shingle_rows(texts: DataFrame, k: int) -> DataFrame:
+    """The whole set of each row of ``texts``: row and shingles."""
 
+    def run(batches):
+        for part, hashes, first in _sets(batches, k):
+            yield pa.RecordBatch.from_arrays([part["row"], pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["row", "shingles"])
 
-def bitmap(members: DataFrame) -> np.ndarray:
-    """``MEMBER_BITS`` bits in words of 64, set at the slots of ``members`` (id)."""
-    at = slot(F.col("id"))
-    words = members.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-    out = np.zeros(MEMBER_BITS // 64, np.int64)
-    for word, bits in words.collect():  # MEMBER_BITS / 64 rows at most
-        out[word] = bits
-    return out
+    return texts.select("row", "text").mapInArrow(run, "row long, shingles array<long>")
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -160,81 +150,101 @@ def _possible(percent: int, n1: Column, at1: Column, n2: Column, at2: Column) ->
     return common * 100 >= (n1 + n2 - common) * percent
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id (the smallest id it reaches by links)."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = shingle_counts(texts, k)
-    every = stored(summaries(texts, k, percent, counts, False), "summaries")
-    classes = stored(
-        every.df.where("n > 0 and id is not null").groupBy("c1", "c2").agg(F.min(F.struct("id", "n", "wanted", "prefix")).alias("x")).select("c1", "c2", F.col("x.id").alias("rep"), "x.n", "x.wanted", "x.prefix"),
-        "classes",
-    )
-    posts = classes.df.select("rep", "n", F.posexplode("prefix").alias("at", "token"))
-    common = posts.groupBy("token").count().where("count > 1").select("token")
-    lists = stored(posts.join(common, "token"), "lists")
-    labels = _link(lists.df, classes.df, texts, k, percent, counts)
-    found = classes.df.select("c1", "c2", "rep")
+def components_of_rows(keyed: Placed, k: int, percent: int, steps: Steps) -> DataFrame:
+    """One line per row of ``keyed`` (id, text): row, id, n and rep, a row that names its component; null for sets of size 0."""
+    counts = shingle_counts(keyed.df, k)
+    every = steps(summaries(keyed.df, k, percent, counts), "summaries")
+    grouped = every.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("row", "n", "wanted", "prefix")).alias("x"))
+    classes = steps(grouped.select("c1", "c2", F.col("x.row").alias("rep"), "x.n", "x.wanted", "x.prefix"), "classes")
+    posts = classes.select("rep", "n", F.posexplode("prefix").alias("at", "token"))
+    common = posts.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    lists = steps(posts.join(common, "token"), "lists")
+    labels = _link(keyed, lists, classes, k, percent, steps)
+    found = classes.select("c1", "c2", "rep")
     if labels is not None:
         found = found.join(labels, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("label", "rep").alias("rep"))
-    found = stored(found, "found").df
-    return every.df.join(found, ["c1", "c2"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("rep")), F.col("id"))).alias("component_id")
-    )
+    return every.select("row", "id", "n", "c1", "c2").join(steps(found, "found"), ["c1", "c2"], "left").select("row", "id", "n", "rep")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id (the smallest id it reaches by links).
+
+    The result is a table in the shared folder; all others are deleted when this returns.
+    """
+    steps = Steps()
+    keyed = placed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    rows = steps(components_of_rows(keyed, k, percent, steps), "rows")
+    least = rows.where("rep is not null").groupBy("rep").agg(F.min("id").alias("least"))
+    own = F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.col("least"))
+    out = stored(rows.join(least, "rep", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id")), "near_duplicates").df
+    steps.drop()
+    keyed.drop()
+    return out
+
+
+def distinct_rows(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row with the smallest id stays (null last, then the first row).
+
+    Rows are told apart by themselves, not by their ids. Rows without words all stay.
+    """
+    steps = Steps()
+    whole, names = placed_whole(docs)
+    rows = steps(components_of_rows(whole.view(id=names[id_col], text=names[text_col]), k, percent, steps), "rows")
+    rank = F.struct(F.col("id").isNull().alias("no"), "id", "row")
+    best = rows.where("rep is not null").groupBy("rep").agg(F.min(rank).alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").select("rep", F.col("b.row").alias("stays"))
+    gone = rows.select("row", "rep").join(best, "rep").where("row != stays").select("row")
+    out = stored(restored(whole.beside(whole.per_row(gone), "left_anti"), names), "distinct_rows").df
+    steps.drop()
+    whole.drop()
+    return out
 
 
-def _link(lists: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame | None:
+def _link(keyed: Placed, lists: DataFrame, classes: DataFrame, k: int, percent: int, steps: Steps) -> DataFrame | None:
     """(node, label) of all classes with links, None without any."""
-    edges = labels = None
-    low, high = 0, 1
+    hubs = lists.groupBy("token").agg(F.min(F.struct("at", "n", "rep")).alias("h")).select("token", "h.*")
+    pairs = _pairs(lists.withColumn("label", F.col("rep")), hubs.withColumn("label", F.col("rep")), F.col("o.rep") != F.col("h.rep"), percent)
+    labels = merged(None, _verified(keyed, pairs, classes, k, percent, steps), steps)
+    lists = lists.withColumn("place", F.floor(F.pmod(F.xxhash64("rep", "token"), F.lit(1 << 31)) * F.col("size") / F.lit(float(1 << 31))))
+    low, high = 0, HUBS
     while True:
-        if low == 0:
-            hubs = lists.groupBy("token").agg(F.min(F.struct("at", "n", "rep")).alias("h")).select("token", "h.*")
-            open_lists, own = lists.withColumn("label", F.col("rep")), hubs.withColumn("label", F.col("rep"))
-            later = F.col("o.rep") != F.col("h.rep")
-        else:
-            left = lists if labels is None else lists.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
-            left = left if labels is not None else left.withColumn("label", F.col("rep"))
-            several = left.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("token")
-            left = left.join(several, "token", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy("at", "n", "rep")) - 1)
-            open_now = stored(left, "open").df
-            if not open_now.where(F.col("place") >= low).limit(1).count():
-                return labels
-            open_lists, own = open_now, open_now.where((F.col("place") >= low) & (F.col("place") < high))
-            later = F.col("o.place") > F.col("h.place")
-            lists = open_now.drop("label", "place")
-        o, h = open_lists.alias("o"), own.alias("h")
-        differ = F.col("o.label") != F.col("h.label")
-        fits = _possible(percent, F.col("o.n"), F.col("o.at"), F.col("h.n"), F.col("h.at"))
-        pairs = o.join(h, F.col("o.token") == F.col("h.token")).where(later & differ & fits).select(F.least("o.rep", "h.rep").alias("a"), F.greatest("o.rep", "h.rep").alias("b")).distinct()
-        new = _verified(pairs, classes, texts, k, percent, counts)
-        if new.limit(1).count():
-            edges = new if edges is None else edges.unionByName(new)
-            labels = connected_components(edges)
+        left = lists.withColumn("label", F.col("rep"))
+        if labels is not None:
+            left = lists.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
+        several = left.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("token")
+        left = steps(left.join(several, "token", "left_semi"), "open")
+        hubs = left.where((F.col("place") >= low) & (F.col("place") < high))
+        if not left.where(F.col("place") >= low).limit(1).count():
+            return labels
+        after = (F.col("o.place") > F.col("h.place")) | ((F.col("o.place") == F.col("h.place")) & (F.col("o.rep") > F.col("h.rep")))
+        labels = merged(labels, _verified(keyed, _pairs(left, hubs, after, percent), classes, k, percent, steps), steps)
         # lists close as a whole, so places in the others stay as they were and every pair has its round
-        low, high = high, high * 16
+        lists, low, high = left.drop("label"), high, high * 16
+
+
+def _pairs(lists: DataFrame, hubs: DataFrame, after: Column, percent: int) -> DataFrame:
+    """Pairs of a hub and a class of its list that is in another component and may be similar enough."""
+    o, h = lists.alias("o"), hubs.alias("h")
+    fits = _possible(percent, F.col("o.n"), F.col("o.at"), F.col("h.n"), F.col("h.at"))
+    met = o.join(h, F.col("o.token") == F.col("h.token")).where(after & (F.col("o.label") != F.col("h.label")) & fits)
+    return met.select(F.least("o.rep", "h.rep").alias("a"), F.greatest("o.rep", "h.rep").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
+def _verified(keyed: Placed, pairs: DataFrame, classes: DataFrame, k: int, percent: int, steps: Steps) -> DataFrame:
     """The pairs whose prefixes share what both ask for and whose sets are similar enough.
 
     What two prefixes share also bounds what the sets share: of the set whose prefix ends first
     only the rest can be added. Sets are made only for pairs that this leaves.
     """
-    side = lambda x, i: classes.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{i}") for c in ("c1", "c2", "n", "wanted", "prefix")))
+    side = lambda x, i: classes.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{i}") for c in ("n", "wanted", "prefix")))
     shared = F.size(F.array_intersect("prefix_a", "prefix_b"))
     most = shared + F.greatest(*(F.col(f"n_{i}") - F.size(f"prefix_{i}") for i in "ab"))
     enough = (shared >= F.least("wanted_a", "wanted_b")) & (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent)
-    close = stored(pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").where(enough).drop("prefix_a", "prefix_b", "wanted_a", "wanted_b"), "close").df
-    members = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if members.count() <= MEMBER_BITS // 4:
-        made = summaries(texts, k, percent, counts, True, bitmap(members))
-    else:
-        made = summaries(texts.join(members, "id", "left_semi"), k, percent, counts, True)
-    sets = stored(made.select("id", "c1", "c2", "shingles"), "sets")
-    # ids that share a bit, and ids that are repeated, have other sets too; the class names the one that is meant
-    one, two = (sets.df.select(F.col("id").alias(i), F.col("c1").alias(f"c1_{i}"), F.col("c2").alias(f"c2_{i}"), F.col("shingles").alias(f"s_{i}")) for i in "ab")
+    close = steps(pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").where(enough).select("a", "b", "n_a", "n_b"), "close")
+    members = keyed.per_row(close.select(F.explode(F.array("a", "b")).alias("row")).distinct())
+    sets = stored(shingle_rows(keyed.beside(members), k), "sets")
+    one, two = (sets.df.select(F.col("row").alias(i), F.col("shingles").alias(f"s_{i}")) for i in "ab")
     common = F.size(F.array_intersect("s_a", "s_b"))
-    linked = close.join(one, ["a", "c1_a", "c2_a"]).join(two, ["b", "c1_b", "c2_b"]).where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent)
-    out = stored(linked.select("a", "b").distinct(), "links").df
+    linked = close.join(one, "a").join(two, "b").where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent)
+    out = steps(linked.select("a", "b"), "links")
     sets.drop()
     return out

@@ -81,3 +81,18 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> Stored:
         df.write.option("compression", codec).parquet(path)
     delete_on_exit(spark, path)
     return Stored(spark, path, spark.read.schema(df.schema).parquet(path))
+
+
+class Steps:
+    """The tables that one operator writes on its way; ``drop`` deletes them all once its result is written."""
+
+    def __init__(self):
+        self.made: list[Stored] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(stored(df, name))
+        return self.made[-1].df
+
+    def drop(self) -> None:
+        for made in self.made:
+            made.drop()
