@@ -157,12 +157,15 @@ def components_of_rows(keyed: Placed, k: int, percent: int, steps: Steps) -> Dat
     grouped = every.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("row", "n", "wanted", "prefix")).alias("x"))
     classes = steps(grouped.select("c1", "c2", F.col("x.row").alias("rep"), "x.n", "x.wanted", "x.prefix"), "classes")
     posts = classes.select("rep", "n", F.posexplode("prefix").alias("at", "token"))
-    common = posts.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    lists = steps(posts.join(common, "token"), "lists")
-    labels = _link(keyed, lists, classes, k, percent, steps)
+    common = steps(posts.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "common")
+    lists = steps(posts.join(common.hint("merge"), "token"), "lists")
+    # what prefixes share stands in lists, so only these shingles of a prefix are needed beside a pair
+    shared = lists.groupBy("rep").agg(F.collect_list("token").alias("tokens"))
+    sides = steps(classes.select("rep", "n", "wanted", (F.col("n") - F.size("prefix")).alias("rest")).join(shared.hint("merge"), "rep"), "sides")
+    labels = _link(keyed, lists, sides, k, percent, steps)
     found = classes.select("c1", "c2", "rep")
     if labels is not None:
-        found = found.join(labels, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("label", "rep").alias("rep"))
+        found = found.join(labels.hint("merge"), F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("label", "rep").alias("rep"))
     return every.select("row", "id", "n", "c1", "c2").join(steps(found, "found"), ["c1", "c2"], "left").select("row", "id", "n", "rep")
 
 
@@ -199,24 +202,24 @@ def distinct_rows(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     return out
 
 
-def _link(keyed: Placed, lists: DataFrame, classes: DataFrame, k: int, percent: int, steps: Steps) -> DataFrame | None:
+def _link(keyed: Placed, lists: DataFrame, sides: DataFrame, k: int, percent: int, steps: Steps) -> DataFrame | None:
     """(node, label) of all classes with links, None without any."""
-    hubs = lists.groupBy("token").agg(F.min(F.struct("at", "n", "rep")).alias("h")).select("token", "h.*")
+    hubs = steps(lists.groupBy("token").agg(F.min(F.struct("at", "n", "rep")).alias("h")).select("token", "h.*"), "hubs")
     pairs = _pairs(lists.withColumn("label", F.col("rep")), hubs.withColumn("label", F.col("rep")), F.col("o.rep") != F.col("h.rep"), percent)
-    labels = merged(None, _verified(keyed, pairs, classes, k, percent, steps), steps)
+    labels = merged(None, _verified(keyed, pairs, sides, k, percent, steps), steps)
     lists = lists.withColumn("place", F.floor(F.pmod(F.xxhash64("rep", "token"), F.lit(1 << 31)) * F.col("size") / F.lit(float(1 << 31))))
     low, high = 0, HUBS
     while True:
         left = lists.withColumn("label", F.col("rep"))
         if labels is not None:
-            left = lists.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
-        several = left.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("token")
-        left = steps(left.join(several, "token", "left_semi"), "open")
+            left = lists.join(labels.hint("merge"), F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
+        several = steps(left.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("token"), "several")
+        left = steps(left.join(several.hint("merge"), "token", "left_semi"), "open")
         hubs = left.where((F.col("place") >= low) & (F.col("place") < high))
         if not left.where(F.col("place") >= low).limit(1).count():
             return labels
         after = (F.col("o.place") > F.col("h.place")) | ((F.col("o.place") == F.col("h.place")) & (F.col("o.rep") > F.col("h.rep")))
-        labels = merged(labels, _verified(keyed, _pairs(left, hubs, after, percent), classes, k, percent, steps), steps)
+        labels = merged(labels, _verified(keyed, _pairs(left, hubs, after, percent), sides, k, percent, steps), steps)
         # lists close as a whole, so places in the others stay as they were and every pair has its round
         lists, low, high = left.drop("label"), high, high * 16
 
@@ -225,24 +228,24 @@ def _pairs(lists: DataFrame, hubs: DataFrame, after: Column, percent: int) -> Da
     """Pairs of a hub and a class of its list that is in another component and may be similar enough."""
     o, h = lists.alias("o"), hubs.alias("h")
     fits = _possible(percent, F.col("o.n"), F.col("o.at"), F.col("h.n"), F.col("h.at"))
-    met = o.join(h, F.col("o.token") == F.col("h.token")).where(after & (F.col("o.label") != F.col("h.label")) & fits)
+    met = o.join(h.hint("merge"), F.col("o.token") == F.col("h.token")).where(after & (F.col("o.label") != F.col("h.label")) & fits)
     return met.select(F.least("o.rep", "h.rep").alias("a"), F.greatest("o.rep", "h.rep").alias("b")).distinct()
 
 
-def _verified(keyed: Placed, pairs: DataFrame, classes: DataFrame, k: int, percent: int, steps: Steps) -> DataFrame:
+def _verified(keyed: Placed, pairs: DataFrame, sides: DataFrame, k: int, percent: int, steps: Steps) -> DataFrame:
     """The pairs whose prefixes share what both ask for and whose sets are similar enough.
 
     What two prefixes share also bounds what the sets share: of the set whose prefix ends first
     only the rest can be added. Sets are made only for pairs that this leaves.
     """
-    side = lambda x, i: classes.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{i}") for c in ("n", "wanted", "prefix")))
-    shared = F.size(F.array_intersect("prefix_a", "prefix_b"))
-    most = shared + F.greatest(*(F.col(f"n_{i}") - F.size(f"prefix_{i}") for i in "ab"))
+    side = lambda x: sides.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "wanted", "rest", "tokens"))).hint("merge")
+    shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    most = shared + F.greatest("rest_a", "rest_b")
     enough = (shared >= F.least("wanted_a", "wanted_b")) & (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent)
-    close = steps(pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").where(enough).select("a", "b", "n_a", "n_b"), "close")
+    close = steps(pairs.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b", "n_a", "n_b"), "close")
     members = keyed.per_row(close.select(F.explode(F.array("a", "b")).alias("row")).distinct())
     sets = stored(shingle_rows(keyed.beside(members), k), "sets")
-    one, two = (sets.df.select(F.col("row").alias(i), F.col("shingles").alias(f"s_{i}")) for i in "ab")
+    one, two = (sets.df.select(F.col("row").alias(i), F.col("shingles").alias(f"s_{i}")).hint("merge") for i in "ab")
     common = F.size(F.array_intersect("s_a", "s_b"))
     linked = close.join(one, "a").join(two, "b").where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent)
     out = steps(linked.select("a", "b"), "links")

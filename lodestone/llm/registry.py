@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, secret_scan, substring_dedup
-from lodestone.session import load
+from lodestone.session import load, shared_dir
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     base = tuple(r.kind for r in secret_scan.RULES)
-    return secret_scan.scan(docs)[0].select(
+    ledger = secret_scan.Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")  # one that has seen nothing
+    return ledger.update(docs).select(
         "doc_id",
         "n_assign",
         "n_access",

@@ -5,13 +5,17 @@ Every text version is content-addressed by its SHA-256 (a blob). The ledger hold
 blob. A scan takes each distinct blob once, however many paths have it, leaves out the
 pairs the ledger has, and joins findings back to every path.
 
-A text that a third of all rows share meets itself in a partial aggregation and is scanned
-once. Findings go back to paths by a join with one row per blob with findings, whose other
-side adaptive execution can split. Span positions come from running sums over the pieces
-between matches, in a window per blob and rule, so the work is linear in the matches.
+Texts are written once and stay where they are (``placed``). Rows are told apart by their hashes:
+only hashes are grouped and held against the ledger, and a text is read again only if its blob is
+unseen, at the one row that stands for it. A scan of known blobs moves and scans no text. A text
+that a third of all rows share meets itself in a partial aggregation. Findings go back to rows by
+a join with one line per blob with findings, whose other side adaptive execution can split. Span
+positions come from running sums over the pieces between matches, in a window per blob and rule,
+so the work is linear in the matches.
 
 Everything is DataFrame expressions. Null text counts as empty. Rows may repeat: each gets
-the findings of its text. Offsets are code points, end exclusive.
+the findings of its text. Offsets are code points, end exclusive. A path column with the name of a
+column of the result comes out with ``path_`` before its name.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.store import stored
+from lodestone.llm.placed import placed
+from lodestone.llm.store import Steps, stored
 
 
 @dataclass(frozen=True)
@@ -57,16 +62,15 @@ def blob_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def unseen_blobs(docs: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame | None, text_col: str) -> DataFrame:
-    """Distinct blobs with their text and ``todo``, the rules that the ledger does not have for them."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    blobs = docs.select(blob_of(F.col(text_col)).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+def unseen_blobs(hashes: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame | None) -> DataFrame:
+    """(row, blob, todo) of blobs that the ledger does not have for some of the rules, at the first of their rows; ``hashes``: row and blob."""
+    blobs = hashes.groupBy("blob").agg(F.min("row").alias("row"))
     wanted = F.array(*(F.lit(f"{r.kind}:{r.version}") for r in rules))
     if ledger is None:
         return blobs.withColumn("todo", wanted)
     seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", "version")).alias("seen"))  # at most one entry for each rule version
     todo = F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))
-    return blobs.join(seen, "blob", "left").withColumn("todo", todo).where(F.size("todo") > 0).select("blob", "text", "todo")
+    return blobs.join(seen, "blob", "left").withColumn("todo", todo).where(F.size("todo") > 0).select("blob", "row", "todo")
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -102,27 +106,38 @@ def spans_text(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, findings: DataFrame | None = None, path_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(every path with its findings, new ledger rows, new findings).
+    """(every path with its findings, new ledger rows, new findings), each a table in the shared folder.
 
-    The scan runs here, and its findings are written to the shared folder. ``ledger`` and ``findings`` are those of earlier scans; findings of other rule versions are left out.
+    ``ledger`` and ``findings`` are those of earlier scans; findings of other rule versions are left out.
     """
-    blobs = unseen_blobs(docs, rules, ledger, text_col)
-    new = stored(scan_blobs(blobs, rules), "findings").df
-    pairs = blobs.select("blob", F.explode("todo").alias("t")).select("blob", F.substring_index("t", ":", 1).alias("rule"), F.substring_index("t", ":", -1).cast("int").alias("version"))
+    steps = Steps()
+    keyed = placed(docs.select(*(F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(path_cols)), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    hashes = steps(keyed.df.select("row", blob_of(F.col("text")).alias("blob")), "hashes")
+    todo = steps(unseen_blobs(hashes, rules, ledger), "todo")
+    unseen = keyed.view(text="text").beside(keyed.per_row(todo, F.first("blob").alias("blob"), F.first("todo").alias("todo")))
+    new = stored(scan_blobs(unseen.select("blob", "text", "todo"), rules), "findings").df
+    kinds = todo.select("blob", F.explode("todo").alias("t"))
+    pairs = stored(kinds.select("blob", F.substring_index("t", ":", 1).alias("rule"), F.substring_index("t", ":", -1).cast("int").alias("version")), "pairs").df
     current = new
     if findings is not None:
         live = F.concat_ws(":", "rule", "version").isin(*(f"{r.kind}:{r.version}" for r in rules))
-        current = findings.where(live).unionByName(new)
-    found = stored(by_blob(current, rules), "found").df  # a table of its own, so that the join's other side can be split
-    paths = docs.select(*(F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(path_cols)), blob_of(F.col(text_col)).alias("blob"))
-    found = found.withColumnRenamed("blob", "_blob")
+        current = findings.where(live).unionByName(new).distinct()
+    found = steps(by_blob(current, rules), "found")  # a table of its own, so that the join's other side can be split
+    names = [f"n_{r.kind}" for r in rules]
+    rows = hashes.join(found, "blob").select("row", F.struct(*names, "spans").alias("found"))
+    lines = keyed.per_row(rows, F.first("found").alias("found"))
+    paths = keyed.view(**{f"_p{i}": f"_p{i}" for i in range(len(path_cols))}).beside(keyed.per_row(hashes, F.first("blob").alias("blob")))
+    paths = paths.join(lines.hint("shuffle_hash"), ["part", "row"], "left")
     none = F.array().cast(found.schema["spans"].dataType)
-    joined = paths.join(found, F.col("blob") == F.col("_blob"), "left").select(
-        *(F.col(f"_p{i}").alias(c) for i, c in enumerate(path_cols)),
+    joined = paths.select(
+        *(F.col(f"_p{i}").alias(f"path_{c}" if c in (*names, "blob", "spans") else c) for i, c in enumerate(path_cols)),
         "blob",
-        *(F.coalesce(F.col(f"n_{r.kind}"), F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in rules),
-        F.coalesce("spans", none).alias("spans"),
+        *(F.coalesce(F.col(f"found.{n}"), F.lit(0)).cast("long").alias(n) for n in names),
+        F.coalesce("found.spans", none).alias("spans"),
     )
+    joined = stored(joined, "paths").df
+    steps.drop()
+    keyed.drop()
     return joined, pairs, new
 
 
@@ -144,12 +159,7 @@ class Ledger:
         Findings are added before ledger rows. A run that dies between the two leaves findings
         without ledger rows; the next run scans those blobs again, and repeated findings count once.
         """
-        ledger, findings = self._read("ledger", LEDGER), self._read("findings", FINDINGS).distinct()
-        blobs = stored(unseen_blobs(docs, self.rules, ledger, text_col), "unseen")
-        scan_blobs(blobs.df, self.rules).write.mode("append").parquet(f"{self.path}/findings")
-        pairs = blobs.df.select("blob", F.explode("todo").alias("t"))
-        pairs.select("blob", F.substring_index("t", ":", 1).alias("rule"), F.substring_index("t", ":", -1).cast("int").alias("version")).write.mode("append").parquet(f"{self.path}/ledger")
-        blobs.drop()
-        ledger, findings = self._read("ledger", LEDGER), self._read("findings", FINDINGS).distinct()
-        return scan(docs, self.rules, ledger, findings, path_cols, text_col)[0]
-
+        paths, pairs, new = scan(docs, self.rules, self._read("ledger", LEDGER), self._read("findings", FINDINGS), path_cols, text_col)
+        new.write.mode("append").parquet(f"{self.path}/findings")
+        pairs.write.mode("append").parquet(f"{self.path}/ledger")
+        return paths
