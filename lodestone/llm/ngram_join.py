@@ -16,7 +16,7 @@ made: first every class meets one hub, the class with the fewest shingles before
 then components are found, and only lists that still hold several components go on. Their
 classes have a random order, and the first 16 or so are hubs of the others, then those up to
 256, 4096 and so on, each against classes of other components. No list is numbered in one
-task, and a list closes once it is one component. A pair is left out if it is in one component
+task, and a list closes once it is one component or all its classes have been hubs. A pair is left out if it is in one component
 already, or if sizes and positions prove that it can't be similar enough: at the first
 shingle that two sets share, no more than the rest of the smaller remainder is common to
 both. So every component is exact, with far fewer pairs than a group of near copies has.
@@ -208,8 +208,9 @@ def _link(keyed: Placed, lists: DataFrame, sides: DataFrame, k: int, percent: in
     pairs = _pairs(lists.withColumn("label", F.col("rep")), hubs.withColumn("label", F.col("rep")), F.col("o.rep") != F.col("h.rep"), percent)
     labels = merged(None, _verified(keyed, pairs, sides, k, percent, steps), steps)
     lists = lists.withColumn("place", F.floor(F.pmod(F.xxhash64("rep", "token"), F.lit(1 << 31)) * F.col("size") / F.lit(float(1 << 31))))
-    low, high = 0, HUBS
+    low, high, done = 0, HUBS, 2  # the pair of a list of two has met its hub
     while True:
+        lists = lists.where(F.col("size") > done)
         left = lists.withColumn("label", F.col("rep"))
         if labels is not None:
             left = lists.join(labels.hint("merge"), F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
@@ -221,7 +222,7 @@ def _link(keyed: Placed, lists: DataFrame, sides: DataFrame, k: int, percent: in
         after = (F.col("o.place") > F.col("h.place")) | ((F.col("o.place") == F.col("h.place")) & (F.col("o.rep") > F.col("h.rep")))
         labels = merged(labels, _verified(keyed, _pairs(left, hubs, after, percent), sides, k, percent, steps), steps)
         # lists close as a whole, so places in the others stay as they were and every pair has its round
-        lists, low, high = left.drop("label"), high, high * 16
+        lists, low, high, done = left.drop("label"), high, high * 16, high
 
 
 def _pairs(lists: DataFrame, hubs: DataFrame, after: Column, percent: int) -> DataFrame:
