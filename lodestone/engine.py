@@ -13,6 +13,7 @@ from lodestone.functions import text as T
 from lodestone.functions.embed import Embedder, HashedEmbedder, embedded
 from lodestone.operators import claims as K
 from lodestone.operators import evaluate, evidence, graph, ranking, research, shaping, understanding, usage
+from lodestone.tables import written
 
 
 @dataclass
@@ -27,17 +28,48 @@ class Engine:
     feedback_counts: DataFrame | None = None
 
     def __post_init__(self):
-        self.vectors = embedded(self.chunks.select("id", "text"), self.embedder).select("id", "vector")
-        self.marks = self.chunks.select("id", T.simhash_bits(F.transform(T.shingle_texts(F.col("text")), T.half_md5)).alias("mark"))
+        # the index: written once, read by every search
+        self.vectors = written(embedded(self.chunks.select("id", "text"), self.embedder).select("id", "vector"), "vectors")
+        self.marks = written(self.chunks.select("id", T.simhash_bits(F.transform(T.shingle_texts(F.col("text")), T.half_md5)).alias("mark")), "marks")
+        self.fields = {"title": C.FIELD_WEIGHTS["title"], "heading": C.FIELD_WEIGHTS["heading"], "text": C.FIELD_WEIGHTS["body"]}
+        self.tokens = ranking.tokenised(self.chunks.join(self.documents.select("document", "title"), "document"), "id", self.fields)
+
+    def allowed(self, source_types: list[str] | None = None, since: str | None = None, parsed: understanding.Parsed | None = None) -> DataFrame | None:
+        """Ids of chunks that pass the filters, null without any: source types, earliest date, and the site, phrases and exclusions of a parsed query."""
+        types, first = source_types or (parsed.source_types if parsed else None), since or (parsed.since if parsed else None)
+        if not (types or first or (parsed and parsed.has_post_filters)):
+            return None
+        rows = self.chunks.join(self.documents.select("document", "url", "source_type", "published_at"), "document")
+        rows = rows.where(F.col("source_type").isin(types)) if types else rows
+        rows = rows.where(F.col("published_at") >= F.lit(first).cast("timestamp")) if first else rows
+        rows = rows.where(understanding.passes(parsed, F.col("text"), F.col("url"))) if parsed else rows
+        return written(rows.select("id"), "allowed")
+
+    def search_one(self, query: str, k: int = 10, variants: bool = True) -> DataFrame:
+        """One query with its operators (type:, since:, site:, phrases, exclusions) and other wordings of it."""
+        parsed, spark = understanding.parse(query), self.chunks.sparkSession
+        one = spark.createDataFrame([(1, parsed.text or query)], "query_id int, text string")
+        kind = one.select(understanding.intent(F.col("text")).alias("k")).first()["k"]
+        names = list(dict.fromkeys(C.ENTITY_ALIASES[w] for w in re.findall(r"\w+", parsed.text.lower()) if w in C.ENTITY_ALIASES))
+        other = understanding.expand(parsed.text, names, kind) if variants else []
+        return self.search(one, k, allowed=self.allowed(parsed=parsed), variants=spark.createDataFrame([(1, v) for v in other], "query_id int, text string"))
 
     def understand(self, queries: DataFrame) -> DataFrame:
         return understanding.routed(queries)
 
-    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        """Ranked hits (query_id, id, rank, fused, alternates, text, url) of a batch of queries (query_id, text)."""
+    def search(self, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None, variants: DataFrame | None = None) -> DataFrame:
+        """Ranked hits (query_id, id, rank, fused, alternates, text, url) of a batch of queries (query_id, text).
+
+        ``allowed`` (id) filters before ranking. ``variants`` (query_id, text) are other wordings; each has rankings of its own that vote like the query's.
+        """
         plan = self.understand(queries)
-        words = ranking.bm25(self.chunks, plan, id_col="id")
-        near = ranking.neighbours(self.vectors, embedded(plan.select("query_id", "text"), self.embedder).select("query_id", "vector"), id_col="id", vector_col="vector")
+        asked = plan.select("query_id", "text") if variants is None else plan.select("query_id", "text").unionByName(variants.select("query_id", "text"))
+        asked = written(asked.withColumn("wording", F.row_number().over(Window.partitionBy("query_id").orderBy("text"))), "asked")
+        each = asked.select(F.struct("query_id", "wording").alias("query_id"), "text")
+        tokens = self.tokens if allowed is None else self.tokens.join(allowed, "id", "left_semi")
+        of = lambda hits: hits.select("query_id.query_id", "id", "rank")
+        words = of(ranking.bm25(self.chunks, each, id_col="id", fields=self.fields, tokens=tokens))
+        near = of(ranking.neighbours(self.vectors, embedded(asked, self.embedder).select(F.struct("query_id", "wording").alias("query_id"), "vector"), id_col="id", vector_col="vector", allowed=allowed))
         weights = plan.select("query_id", "vector_weight", "keyword_weight", "intent")
         votes = words.select("query_id", "id", "rank").join(weights, "query_id").select("query_id", "id", "rank", F.col("keyword_weight").alias("weight"))
         votes = votes.unionByName(near.select("query_id", "id", "rank").join(weights, "query_id").select("query_id", "id", "rank", F.col("vector_weight").alias("weight")))

@@ -161,27 +161,149 @@ TIER_PRIORS = {"docs": 1.0, "repo": 0.85, "registry": 0.8, "qa": 0.8, "blog": 0.
 TTL_HOURS = {"docs": 168, "repo": 24, "registry": 72, "qa": 24, "blog": 168, "unknown": 24}
 OFF_DOMAIN, PER_HOST = 0.5, 2
 HOSTS = {
-    ("docs", "docs"): (
-        "docs.python.org developer.mozilla.org learn.microsoft.com docs.oracle.com docs.aws.amazon.com cloud.google.com "
-        "kubernetes.io docs.docker.com developer.hashicorp.com postgresql.org dev.mysql.com mariadb.com sqlite.org "
-        "redis.io mongodb.com docs.djangoproject.com fastapi.tiangolo.com flask.palletsprojects.com nodejs.org react.dev "
-        "vuejs.org angular.dev go.dev pkg.go.dev doc.rust-lang.org docs.rs rust-lang.org cppreference.com man7.org "
-        "git-scm.com docs.github.com docs.gitlab.com docs.astral.sh pip.pypa.io packaging.python.org readthedocs.io "
-        "kernel.org wiki.postgresql.org nextjs.org vercel.com legacy.reactjs.org eslint.org typescriptlang.org nginx.org "
-        "k8s.io helm.sh docs.npmjs.com vite.dev vitejs.dev webpack.js.org tailwindcss.com svelte.dev deno.com bun.sh "
-        "pnpm.io yarnpkg.com jestjs.io vitest.dev playwright.dev prisma.io php.net ruby-lang.org kotlinlang.org swift.org "
-        "dart.dev developer.apple.com developer.android.com developers.cloudflare.com docs.ansible.com nixos.org "
-        "apache.org elastic.co prometheus.io grafana.com istio.io debian.org ubuntu.com archlinux.org"
-    ),
-    ("registry", "docs"): "pgxn.org pypi.org npmjs.com crates.io rubygems.org nuget.org hex.pm mvnrepository.com",
-    ("repo", "docs"): "github.com gitlab.com bitbucket.org",
-    ("qa", "so"): "stackoverflow.com stackexchange.com serverfault.com superuser.com askubuntu.com",
-    ("qa", "hn"): "news.ycombinator.com",
-    ("qa", "reddit"): "reddit.com",
-    ("qa", "blog"): "discuss.python.org forums.docker.com",
-    ("blog", "blog"): (
-        "freecodecamp.org percona.com dev.to medium.com hashnode.dev substack.com github.io martinfowler.com "
-        "use-the-index-luke.com baeldung.com digitalocean.com geeksforgeeks.org w3schools.com realpython.com"
-    ),
+    "docs.python.org": ("docs", "docs"),
+    "developer.mozilla.org": ("docs", "docs"),
+    "learn.microsoft.com": ("docs", "docs"),
+    "docs.oracle.com": ("docs", "docs"),
+    "docs.aws.amazon.com": ("docs", "docs"),
+    "cloud.google.com": ("docs", "docs"),
+    "kubernetes.io": ("docs", "docs"),
+    "docs.docker.com": ("docs", "docs"),
+    "developer.hashicorp.com": ("docs", "docs"),
+    "postgresql.org": ("docs", "docs"),
+    "dev.mysql.com": ("docs", "docs"),
+    "mariadb.com": ("docs", "docs"),
+    "sqlite.org": ("docs", "docs"),
+    "redis.io": ("docs", "docs"),
+    "mongodb.com": ("docs", "docs"),
+    "docs.djangoproject.com": ("docs", "docs"),
+    "fastapi.tiangolo.com": ("docs", "docs"),
+    "flask.palletsprojects.com": ("docs", "docs"),
+    "nodejs.org": ("docs", "docs"),
+    "react.dev": ("docs", "docs"),
+    "vuejs.org": ("docs", "docs"),
+    "angular.dev": ("docs", "docs"),
+    "go.dev": ("docs", "docs"),
+    "pkg.go.dev": ("docs", "docs"),
+    "doc.rust-lang.org": ("docs", "docs"),
+    "docs.rs": ("docs", "docs"),
+    "rust-lang.org": ("docs", "docs"),
+    "cppreference.com": ("docs", "docs"),
+    "man7.org": ("docs", "docs"),
+    "git-scm.com": ("docs", "docs"),
+    "docs.github.com": ("docs", "docs"),
+    "docs.gitlab.com": ("docs", "docs"),
+    "docs.astral.sh": ("docs", "docs"),
+    "pip.pypa.io": ("docs", "docs"),
+    "packaging.python.org": ("docs", "docs"),
+    "readthedocs.io": ("docs", "docs"),
+    "kernel.org": ("docs", "docs"),
+    "wiki.postgresql.org": ("docs", "docs"),
+    "nextjs.org": ("docs", "docs"),
+    "vercel.com": ("docs", "docs"),
+    "legacy.reactjs.org": ("docs", "docs"),
+    "eslint.org": ("docs", "docs"),
+    "typescriptlang.org": ("docs", "docs"),
+    "nginx.org": ("docs", "docs"),
+    "k8s.io": ("docs", "docs"),
+    "helm.sh": ("docs", "docs"),
+    "docs.npmjs.com": ("docs", "docs"),
+    "vite.dev": ("docs", "docs"),
+    "vitejs.dev": ("docs", "docs"),
+    "webpack.js.org": ("docs", "docs"),
+    "tailwindcss.com": ("docs", "docs"),
+    "svelte.dev": ("docs", "docs"),
+    "deno.com": ("docs", "docs"),
+    "bun.sh": ("docs", "docs"),
+    "pnpm.io": ("docs", "docs"),
+    "yarnpkg.com": ("docs", "docs"),
+    "jestjs.io": ("docs", "docs"),
+    "vitest.dev": ("docs", "docs"),
+    "playwright.dev": ("docs", "docs"),
+    "prisma.io": ("docs", "docs"),
+    "php.net": ("docs", "docs"),
+    "ruby-lang.org": ("docs", "docs"),
+    "kotlinlang.org": ("docs", "docs"),
+    "swift.org": ("docs", "docs"),
+    "dart.dev": ("docs", "docs"),
+    "developer.apple.com": ("docs", "docs"),
+    "developer.android.com": ("docs", "docs"),
+    "developers.cloudflare.com": ("docs", "docs"),
+    "docs.ansible.com": ("docs", "docs"),
+    "nixos.org": ("docs", "docs"),
+    "apache.org": ("docs", "docs"),
+    "elastic.co": ("docs", "docs"),
+    "prometheus.io": ("docs", "docs"),
+    "grafana.com": ("docs", "docs"),
+    "istio.io": ("docs", "docs"),
+    "debian.org": ("docs", "docs"),
+    "ubuntu.com": ("docs", "docs"),
+    "archlinux.org": ("docs", "docs"),
+    "pgxn.org": ("registry", "docs"),
+    "pypi.org": ("registry", "docs"),
+    "npmjs.com": ("registry", "docs"),
+    "crates.io": ("registry", "docs"),
+    "rubygems.org": ("registry", "docs"),
+    "nuget.org": ("registry", "docs"),
+    "hex.pm": ("registry", "docs"),
+    "mvnrepository.com": ("registry", "docs"),
+    "github.com": ("repo", "docs"),
+    "gitlab.com": ("repo", "docs"),
+    "bitbucket.org": ("repo", "docs"),
+    "stackoverflow.com": ("qa", "so"),
+    "stackexchange.com": ("qa", "so"),
+    "serverfault.com": ("qa", "so"),
+    "superuser.com": ("qa", "so"),
+    "askubuntu.com": ("qa", "so"),
+    "news.ycombinator.com": ("qa", "hn"),
+    "reddit.com": ("qa", "reddit"),
+    "discuss.python.org": ("qa", "blog"),
+    "forums.docker.com": ("qa", "blog"),
+    "freecodecamp.org": ("blog", "blog"),
+    "percona.com": ("blog", "blog"),
+    "dev.to": ("blog", "blog"),
+    "medium.com": ("blog", "blog"),
+    "hashnode.dev": ("blog", "blog"),
+    "substack.com": ("blog", "blog"),
+    "github.io": ("blog", "blog"),
+    "martinfowler.com": ("blog", "blog"),
+    "use-the-index-luke.com": ("blog", "blog"),
+    "baeldung.com": ("blog", "blog"),
+    "digitalocean.com": ("blog", "blog"),
+    "geeksforgeeks.org": ("blog", "blog"),
+    "w3schools.com": ("blog", "blog"),
+    "realpython.com": ("blog", "blog"),
+}
+BLOCKED = (
+    "youtube.com",
+    "youtu.be",
+    "vimeo.com",
+    "facebook.com",
+    "instagram.com",
+    "tiktok.com",
+    "pinterest.com",
+    "x.com",
+    "twitter.com",
+    "linkedin.com",
+)
+
+# Classes that name the language of code.
+CODE_CLASS = r'(?i)class="[^"]*(?:language|lang|highlight-source)-([a-z0-9+#]+)'
+
+# Cues that say what happened to a product in a version, the strongest first. {names} stands for the product names.
+VERSION_CUES = (
+    ("removed", r"(?i)\b(?:removed|dropped|deleted)\s+(?:in|as\s+of|since|from)\s+({names})?\s*v?(\d+(?:\.\d+){0,3})(?:\+|\b)"),
+    ("deprecated", r"(?i)\bdeprecated\s+(?:in|as\s+of|since|from)\s+({names})?\s*v?(\d+(?:\.\d+){0,3})(?:\+|\b)"),
+    ("since", r"(?i)\b(?:introduced|added|available|new|supported)\s+(?:in|as\s+of|since|from)\s+({names})?\s*v?(\d+(?:\.\d+){0,3})(?:\+|\b)"),
+    ("since", r"(?i)\bsince\s+({names})\s+v?(\d+(?:\.\d+){0,3})(?:\+|\b)"),
+    ("mentions", r"(?i)\b({names})\s+v?(\d+(?:\.\d+){0,3})(?:\+|\b)"),
+)
+
+# Sub-questions of a research plan by intent. {core} is the question without its question words, {head} its first entity.
+PLAN_QUESTIONS = {
+    "comparison": ("How do {a} and {b} compare on {axis}?", "When should you choose {a} over {b}?"),
+    "troubleshooting": ("What are the common causes of {core}?", "How do you diagnose {core}?", "How do you fix {core}?", "How do you prevent {core}?"),
+    "definition": ("What is {head}?", "How does {head} work?", "What are the main use cases and tradeoffs of {head}?"),
+    "how-to": ("What is the standard way to {core}?", "What are common pitfalls when you {core}?", "What are the best practices for {core}?"),
+    "why": ("What causes {core}?", "Why does {core} happen?", "How do you address {core}?"),
 }
-BLOCKED = "youtube.com youtu.be vimeo.com facebook.com instagram.com tiktok.com pinterest.com x.com twitter.com linkedin.com".split()

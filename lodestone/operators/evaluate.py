@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
+
 
 def graded(ranking: DataFrame, judgments: DataFrame) -> DataFrame:
     """Ranking rows (query_id, id, rank) with the best grade any judgment (query_id, id, grade) gives; 0 without one."""
@@ -85,3 +87,17 @@ def coverage(text: Column, needles: Column) -> Column:
     """Share of needles that a text holds, null without needles."""
     found = F.size(F.filter(needles, lambda x: F.lower(text).contains(F.lower(x))))
     return F.when(F.size(needles) > 0, F.round(found / F.size(needles), 4))
+
+
+def holding(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
+    """(id, item) of documents (id, text) whose text holds that of an item (item, text).
+
+    A text that holds a passage has each of its inner words as a word of its own, so only documents
+    with the passage's longest inner word are compared; ids meet first, texts follow. Passages of fewer than
+    three words have no inner word and match nothing.
+    """
+    words = F.slice(T.tokens(F.col("text")), F.lit(2), F.greatest(F.size(T.tokens(F.col("text"))) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    wanted = items.select(item_col, F.col("text").alias("passage"), longest.alias("word")).where("word is not null")
+    met = docs.select(id_col, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word")).join(wanted.select(item_col, "word"), "word").select(id_col, item_col)
+    return met.join(docs.select(id_col, "text"), id_col).join(wanted.select(item_col, "passage"), item_col).where(F.col("text").contains(F.col("passage"))).select(id_col, item_col).distinct()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.tables import written
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """(at, to, kind, edge) of edges (edge, subject, object, kind)."""
@@ -20,13 +22,13 @@ def neighbours(edges: DataFrame, node, kinds: list[str] | None = None, most: int
 
 
 def reachable(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(start, node, depth) with the smallest depth. Each step joins the frontier only and drops what was seen."""
-    links = both_ways(edges).select("at", "to").distinct()
+    """(start, node, depth) with the smallest depth. Each step joins the frontier only, drops what was seen and is written, so the work of a step is its own."""
+    links = written(both_ways(edges).select("at", "to").distinct(), "links")
     seen = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"))
     frontier = seen
     for d in range(1, depth + 1):
         step = frontier.join(links, frontier["node"] == links["at"]).select("start", F.col("to").alias("node")).distinct()
-        frontier = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(d))
+        frontier = written(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(d)), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -40,11 +42,11 @@ def subgraph(edges: DataFrame, starts: DataFrame, depth: int, most: int) -> tupl
 
 def shortest_paths(edges: DataFrame, source, target, hops: int = 5) -> DataFrame:
     """(path, hops): the shortest path, of several the smallest. Walks meet each node once, with its smallest path."""
-    links = both_ways(edges).select("at", "to").distinct()
+    links = written(both_ways(edges).select("at", "to").distinct(), "links")
     seen = frontier = edges.sparkSession.range(1).select(F.lit(source).alias("node"), F.array(F.lit(source)).alias("path"))
     for _ in range(hops):
         step = frontier.join(links, frontier["node"] == links["at"]).select(F.col("to").alias("node"), F.concat("path", F.array("to")).alias("path"))
-        frontier = step.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti")
+        frontier = written(step.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti"), "frontier")
         seen = seen.unionByName(frontier)
     return seen.where(F.col("node") == F.lit(target)).select("path", (F.size("path") - 1).alias("hops"))
 
@@ -74,3 +76,37 @@ def co_mentions(mentions: DataFrame, kind: str = "alternative-to", strength: flo
     a, b = rows.alias("a"), rows.alias("b")
     pairs = a.join(b, (F.col("a.document") == F.col("b.document")) & (F.col("a.entity") < F.col("b.entity")))
     return pairs.groupBy(F.col("a.entity").alias("subject"), F.col("b.entity").alias("object")).agg(F.min("a.document").alias("source")).withColumns({"kind": F.lit(kind), "strength": F.lit(strength)})
+
+
+def upserted(entities: DataFrame, aliases: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, aliases) after a batch of entities (name, kind, description, aliases: array).
+
+    An incoming entity is a stored one (id, name, kind, description) if its name or an alias (entity, alias) is known, in any
+    case; else it is new, with ids after the largest one, in the order of names. Unknown aliases are added; an
+    empty description is filled.
+    """
+    known = aliases.select("entity", F.lower("alias").alias("k")).unionByName(entities.select(F.col("id").alias("entity"), F.lower("name").alias("k"))).groupBy("k").agg(F.min("entity").alias("entity"))
+    words = incoming.select("name", F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), "aliases"), lambda a: F.lower(a)))).alias("k"))
+    found = words.join(known, "k").groupBy("name").agg(F.min("entity").alias("entity"))
+    rows = written(incoming.join(found, "name", "left"), "incoming")
+    fresh = rows.where("entity is null").groupBy(F.lower("name").alias("k")).agg(F.min(F.struct("name", "kind", "description")).alias("r"))
+    top = entities.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))  # one row
+    order = F.row_number().over(Window.orderBy("k"))  # the new entities of one batch
+    new = written(fresh.withColumn("n", order).join(F.broadcast(top), F.lit(True)).select((F.col("top") + F.col("n")).alias("id"), "k", "r.*"), "entities")
+    backfill = rows.where("entity is not null").groupBy("entity").agg(F.max("description").alias("more"))
+    old = entities.join(backfill, F.col("id") == F.col("entity"), "left").withColumn("description", F.coalesce(F.nullif("description", F.lit("")), "more")).select("id", "name", "kind", "description")
+    named = rows.select("name", "entity", "aliases").join(new.select("k", "id"), F.lower("name") == F.col("k"), "left")
+    added_ = named.select(F.coalesce("entity", "id").alias("entity"), F.explode(F.concat(F.array("name"), "aliases")).alias("alias"))
+    fresh_aliases = added_.join(known.select("k"), F.lower("alias") == F.col("k"), "left_anti").dropDuplicates(["entity", "alias"])
+    return old.unionByName(new.select("id", "name", "kind", "description")), aliases.select("entity", "alias").unionByName(fresh_aliases)
+
+
+def with_claims(nodes: DataFrame, edges: DataFrame, claims: DataFrame, most: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node) with their surest claims, and edges (subject, object) with the claims that both ends share; ``claims``: entity, claim, confidence."""
+    place = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc_nulls_last("confidence"), "claim"))
+    best = claims.withColumn("place", place).where(F.col("place") <= most).groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("place", "claim"))).alias("c")).select("entity", F.col("c.claim").alias("claims"))
+    of = lambda x: best.select(F.col("entity").alias(x), F.col("claims").alias(f"{x}_claims"))
+    none = F.array().cast(best.schema["claims"].dataType)
+    told = nodes.join(best, nodes["node"] == best["entity"], "left").drop("entity").withColumn("claims", F.coalesce("claims", none))
+    linked = edges.join(of("subject"), "subject", "left").join(of("object"), "object", "left")
+    return told, linked.withColumn("claims", F.coalesce(F.array_intersect("subject_claims", "object_claims"), none)).drop("subject_claims", "object_claims")

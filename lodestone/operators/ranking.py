@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import fixed as C
 from lodestone.functions import text as T
+from lodestone.tables import written
 
 #: Rows of a side that may be broadcast. Larger sides are shuffled.
 BROADCAST_ROWS = 100_000
+#: Queries that meet all vectors at once, about; 1024 vectors of 1024 floats are 4 MB.
+QUERY_BLOCK = 1024
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -17,36 +20,39 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def postings(docs: DataFrame, id_col: str, fields: dict[str, float], terms: DataFrame | None = None) -> DataFrame:
-    """(id, term, tf, dl): weighted term counts and weighted length of each document's fields; of ``terms`` only, if given."""
+def tokenised(docs: DataFrame, id_col: str, fields: dict[str, float]) -> DataFrame:
+    """(id, dl, f0, f1, ...): the tokens of each field and their number, written once; later steps read them and no text."""
+    cut = docs.select(F.col(id_col).alias("id"), *(T.tokens(F.col(c)).alias(f"f{i}") for i, c in enumerate(fields)))
+    length = F.lit(0)
+    for i in range(len(fields)):
+        length = length + F.size(f"f{i}")
+    return written(cut.withColumn("dl", length.cast("double")), "tokens")
 
-    def weighed(field: str, weight: float) -> Column:
-        return F.transform(T.tokens(F.col(field)), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
-    parts = [weighed(c, w) for c, w in fields.items()]
-    rows = docs.select(F.col(id_col).alias("id"), F.concat(*parts).alias("t"))
-    rows = rows.withColumn("dl", F.aggregate("t", F.lit(0.0), lambda acc, x: acc + x["w"]))
-    rows = rows.select("id", "dl", F.explode("t").alias("x")).select("id", "dl", "x.term", "x.w")
+def postings(tokens: DataFrame, weights: list[float], terms: DataFrame | None = None) -> DataFrame:
+    """(id, dl, term, tf): term counts, each field with its weight; of ``terms`` (term) only, if given."""
+    parts = [tokens.select("id", "dl", F.explode(f"f{i}").alias("term"), F.lit(float(w)).alias("w")) for i, w in enumerate(weights)]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
     rows = rows if terms is None else rows.join(bounded(terms), "term")
     return rows.groupBy("id", "dl", "term").agg(F.sum("w").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = C.K_EACH, id_col: str = "doc_id", fields: dict[str, float] | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = C.K_EACH, id_col: str = "doc_id", fields: dict[str, float] | None = None, tokens: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, matched, n_terms, rank): documents with all terms first, then by Okapi score.
 
-    ``queries``: query_id, text. Only postings of query terms are kept before anything is
-    shuffled; lengths and document counts come from the same scan.
+    ``queries``: query_id, text. ``fields``: weights of columns; a term counts as often as it stands in each, times the weight. Texts are read
+    once; only postings of query terms are kept before anything is shuffled, and they are written, for their
+    counts and for the scores. ``tokens`` (from ``tokenised``) spares batches of queries the reading.
     """
     fields = fields or {"text": 1.0}
-    terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    tokens = tokenised(docs, id_col, fields) if tokens is None else tokens
+    terms = written(queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")), "terms")
     sizes = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    length = F.lit(0.0)
-    for c, w in fields.items():
-        length = length + F.size(T.tokens(F.col(c))) * F.lit(float(w))
-    lengths = docs.select(length.alias("dl"))
-    total = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first()
+    total = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first()
     n, mean = total["n"], total["mean"] or 1.0
-    found = postings(docs, id_col, fields, terms.select("term").distinct())
+    found = written(postings(tokens, list(fields.values()), terms.select("term").distinct()), "postings")
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(C.IDF_FLOOR))
     weighed = found.join(df.select("term", idf.alias("idf")), "term")
@@ -65,15 +71,22 @@ def cosine(a: Column, b: Column) -> Column:
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = C.K_EACH, id_col: str = "vec_id", vector_col: str = "embedding", allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank): the exact k nearest by cosine of every query (query_id, vector).
 
-    All vectors are read once; the stated queries are the broadcast side, counted first. A
-    filter (``allowed``: id) is applied before ranking, so k hits come back if there are k.
+    The stated queries meet all vectors in blocks of ``QUERY_BLOCK``; a block is broadcast, and of each task's
+    scores only the k best of a query are shuffled. A filter (``allowed``: id) is applied before ranking, so k hits
+    come back if there are k.
     """
     pool = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     pool = pool if allowed is None else pool.join(allowed.select("id"), "id", "left_semi")
-    scored = pool.join(bounded(queries, 10_000), F.col("v").isNotNull() & F.col("vector").isNotNull())
-    scored = scored.select("query_id", "id", F.round(cosine(F.col("v"), F.col("vector")), 6).alias("score"))
+    asked = written(queries.where("vector is not null").select("query_id", "vector"), "queries")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    out = None
+    for b in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        scored = pool.join(F.broadcast(block), F.col("v").isNotNull()).select("query_id", "id", F.round(cosine(F.col("v"), F.col("vector")), 6).alias("score"))
+        best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def rank_fusion(rankings: DataFrame, boosts: DataFrame | None = None) -> DataFrame:

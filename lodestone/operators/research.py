@@ -21,17 +21,16 @@ AXES = ("performance", "reliability and durability", "features and capabilities"
 
 
 def plan(core: str, names: list[str], kind: str) -> dict:
-    """Sub-questions by intent, each resting on the one before, and where answers are likely."""
-    head = names[0] if names else core
-    if kind == "comparison" and len(names) > 1:
-        asks = [f"{names[0]} and {names[1]}: {axis}" for axis in AXES[:3]] + [f"When is {names[0]} the better choice than {names[1]}?"]
+    """Sub-questions by intent, and where answers are likely; the choice of a comparison rests on all of its axes."""
+    between = kind == "comparison" and len(names) > 1
+    if between:
+        each, choice = C.PLAN_QUESTIONS["comparison"]
+        asks = [each.format(a=names[0], b=names[1], axis=axis) for axis in AXES[:3]] + [choice.format(a=names[0], b=names[1])]
     else:
-        asks = {
-            "troubleshooting": [f"causes of {core}", f"how to diagnose {core}", f"how to fix {core}", f"how to prevent {core}"],
-            "definition": [f"what {head} is", f"how {head} works", f"uses and tradeoffs of {head}"],
-            "how-to": [f"the standard way to {core}", f"pitfalls of {core}", f"best practices for {core}"],
-        }.get(kind, [f"what causes {core}", f"evidence for {core}", f"exceptions to {core}"])
-    return {"sub_questions": backward([{"question": q, "depends_on": [i]} for i, q in enumerate(asks)]), "targets": list(C.BOOSTS.get(kind, {})) or ["docs", "blog", "so_answer", "github_issue"]}
+        templates = C.PLAN_QUESTIONS["why" if kind == "comparison" else kind] if kind in C.PLAN_QUESTIONS else C.PLAN_QUESTIONS["why"]
+        asks = [t.format(core=core, head=names[0] if names else core) for t in templates]
+    rests = {len(asks): list(range(1, len(asks)))} if between else {}
+    return {"sub_questions": backward([{"question": q, "depends_on": rests.get(i, [])} for i, q in enumerate(asks, 1)]), "targets": list(C.BOOSTS.get(kind, {})) or ["docs", "blog", "so_answer", "github_issue"]}
 
 
 def backward(raw: list, most: int = MOST_SUB_QUESTIONS) -> list[dict]:

@@ -11,7 +11,7 @@ from lodestone.operators.understanding import host
 
 def policy(spark: SparkSession) -> DataFrame:
     """The host table: suffix, tier, prior, kind. A fixed number of rows."""
-    rows = [(h, tier, C.TIER_PRIORS[tier], kind) for (tier, kind), hosts in C.HOSTS.items() for h in hosts.split()]
+    rows = [(h, tier, C.TIER_PRIORS[tier], kind) for h, (tier, kind) in C.HOSTS.items()]
     rows += [(h, "blocked", 0.0, "blog") for h in C.BLOCKED]
     return spark.createDataFrame(rows, "suffix string, tier string, prior double, kind string")
 

@@ -37,10 +37,6 @@ def bench_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-
-
-def search_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query set of the searches: every vector whose id is divisible by 20."""
     return load(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import fixed as C
 from lodestone.operators.sources import classified
 from lodestone.operators.understanding import host
 
 #: Author roles by association, and question sites by host.
 AUTHOR_ROLE = {"OWNER": "maintainer", "MEMBER": "maintainer", "COLLABORATOR": "maintainer", "CONTRIBUTOR": "contributor"}
-QUESTION_SITES = {"stackoverflow.com": "stackoverflow", "serverfault.com": "serverfault", "superuser.com": "superuser", "askubuntu.com": "askubuntu"}
+QUESTION_SITES = {"stackoverflow.com": "stackoverflow", "serverfault.com": "serverfault", "superuser.com": "superuser", "askubuntu.com": "askubuntu", "mathoverflow.net": "mathoverflow"}
 
 
 def author_role(association: Column) -> Column:
@@ -20,7 +21,7 @@ def author_role(association: Column) -> Column:
 
 def code_languages(html: Column) -> Column:
     """Sorted languages that code classes name."""
-    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'(?i)class="[^"]*(?:language|lang|highlight-source)-([a-z0-9+#]+)'), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(C.CODE_CLASS), F.lit(1))
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.lower(x))))
 
 

@@ -1,8 +1,10 @@
 """Counters over event streams: usage, errors, feedback, sessions.
 
-Every function takes a streaming or a batch DataFrame of events and returns the aggregate; the
-watermark bounds state, and what is later than it is dropped. ``run_available`` drives one to the
-end of what is there, with a checkpoint in the shared folder.
+Every function takes a streaming or a batch DataFrame of events and returns the aggregate. Streams
+run in update mode: a batch gives the new counts of the keys that it touched, the watermark lets
+the state of closed windows go, and what is later than it is dropped. ``feedback_counts`` has no time and
+keeps one count for each target and signal. ``run_available`` drives a stream to the end of what
+is there, with a checkpoint in the shared folder, and merges the batches by key.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.session import shared_dir
 
@@ -41,14 +44,21 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("events")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
-def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """The result table of a stream over all that is available now, written to the shared folder by micro-batches."""
+def run_available(stream: DataFrame, keys: list[str] | None, mode: str = "update") -> DataFrame:
+    """The result of a stream over all that is available now: of each key the row of the last batch that touched it (without keys all rows).
+
+    Every batch writes a folder named after it, so one that runs again writes the same rows again.
+    """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/{epoch if mode != 'complete' else 0}")
+        batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.option("recursiveFileLookup", "true").schema(stream.schema).parquet(f"{base}/out")
+    out = spark.read.schema(StructType(stream.schema.fields + [StructField("epoch", LongType())])).parquet(f"{base}/out")
+    if keys is None:
+        return out.drop("epoch")
+    rest = [c for c in stream.columns if c not in keys]
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("r")).select(*keys, "r.*").select(*stream.columns)
