@@ -11,7 +11,8 @@ for y), for every l. A document takes the l of least estimated cost: what the li
 prefix hold, divided by l, and the longer prefix itself. Two documents are compared only if
 their prefixes share at least the smaller l of the two.
 
-Only prefix shingles of two or more classes make lists. Inside a list, pairs are not all
+Only prefix shingles of two or more classes make lists, and of lists with the same classes (the
+shingles of one shared passage) only the first is worked on. Inside a list, pairs are not all
 made: first every class meets one hub, the class with the fewest shingles before this one;
 then components are found, and only lists that still hold several components go on. Their
 classes have a random order, and the first 16 or so are hubs of the others, then those up to
@@ -204,6 +205,7 @@ def distinct_rows(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
 def _link(keyed: Placed, lists: DataFrame, sides: DataFrame, k: int, percent: int, steps: Steps) -> DataFrame | None:
     """(node, label) of all classes with links, None without any."""
+    lists = steps(lists.join(_first_of_equal_lists(lists).hint("merge"), "token", "left_semi"), "own_lists")
     hubs = steps(lists.groupBy("token").agg(F.min(F.struct("at", "n", "rep")).alias("h")).select("token", "h.*"), "hubs")
     pairs = _pairs(lists.withColumn("label", F.col("rep")), hubs.withColumn("label", F.col("rep")), F.col("o.rep") != F.col("h.rep"), percent)
     labels = merged(None, _verified(keyed, pairs, sides, k, percent, steps), steps)
@@ -225,6 +227,13 @@ def _link(keyed: Placed, lists: DataFrame, sides: DataFrame, k: int, percent: in
         lists, low, high, done = left.drop("label"), high, high * 16, high
 
 
+def _first_of_equal_lists(lists: DataFrame) -> DataFrame:
+    """One shingle of each set of lists with the same classes: the first in the global order, at which every pair of them meets first."""
+    classes = [F.count(F.lit(1)), F.min("rep"), F.max("rep"), F.bit_xor(F.xxhash64("rep")), F.bit_xor(F.xxhash64("rep", F.lit(1)))]
+    told = lists.groupBy("token").agg(*(c.alias(f"s{i}") for i, c in enumerate(classes)), F.min(F.struct("rep", "at")).alias("f"))
+    return told.groupBy(*(f"s{i}" for i in range(len(classes)))).agg(F.min_by("token", "f.at").alias("token")).select("token")
+
+
 def _pairs(lists: DataFrame, hubs: DataFrame, after: Column, percent: int) -> DataFrame:
     """Pairs of a hub and a class of its list that is in another component and may be similar enough."""
     o, h = lists.alias("o"), hubs.alias("h")
