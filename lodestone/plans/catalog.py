@@ -319,10 +319,10 @@ def claims_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("claim").agg(F.count(F.lit(1)).alias("edges"), text.alias("listing"))
 
 
-@query(f"WITH {EVIDENCE} SELECT claim, count(DISTINCT source) AS sources, round(max(strength), 4) AS strength FROM evidence WHERE relation = 'contradicts' GROUP BY 1")
+@query(f"WITH {EVIDENCE} SELECT claim, count(DISTINCT source) AS sources, round(max(strength), 6) AS strength FROM evidence WHERE relation = 'contradicts' GROUP BY 1")
 def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.evidence(spark, sf_dir).where("relation = 'contradicts'")
-    return rows.groupBy("claim").agg(F.count_distinct("source").alias("sources"), F.round(F.max("strength"), 4).alias("strength"))
+    return rows.groupBy("claim").agg(F.count_distinct("source").alias("sources"), F.round(F.max("strength"), 6).alias("strength"))
 
 
 # ---------------------------------------------------------------- graph
