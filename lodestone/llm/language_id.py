@@ -87,20 +87,21 @@ def has_letter(texts: pa.Array) -> np.ndarray:
     return quick
 
 
-def hinge(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 15) -> tuple[np.ndarray, float]:
-    """A linear support vector machine by dual coordinate descent; a column of ones is its bias."""
-    n = len(x)
+def hinge(x: np.ndarray, at: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 15) -> tuple[np.ndarray, float]:
+    """A linear support vector machine over the rows ``at`` of ``x``, by dual coordinate descent; a column of ones is its bias."""
+    n = len(at)
     w, b, alpha = np.zeros(x.shape[1], np.float64), 0.0, np.zeros(n)
     weight = np.where(y > 0, n / (2 * max((y > 0).sum(), 1)), n / (2 * max((y < 0).sum(), 1))) * c
-    norm = (x.astype(np.float64) ** 2).sum(1) + 1
+    norm = np.array([np.dot(x[i], x[i]) for i in at], np.float64) + 1
     order = np.random.default_rng(7)
     for _ in range(rounds):
         for i in order.permutation(n):
-            g = y[i] * (x[i] @ w + b) - 1
+            row = x[at[i]]
+            g = y[i] * (row @ w + b) - 1
             new = min(max(alpha[i] - g / norm[i], 0.0), weight[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w += step * x[i]
+                w += step * row
                 b += step
                 alpha[i] = new
     return w, b
@@ -116,12 +117,14 @@ class Model:
         self.members = [[c for c in self.langs if family[c] == f] for f in self.families]
         y = np.array(langs)
         fam = np.array([family[c] for c in langs])
-        mean, dev = (x.mean(0), x.std(0) + 1e-4) if len(x) else (np.zeros(DIMS), np.ones(DIMS))
-        z = ((x - mean) / dev / np.sqrt(DIMS)).astype(np.float32)
+        mean = x.mean(0) if len(x) else np.zeros(DIMS, np.float32)
+        z = x - mean  # the only copy of the vectors
+        dev = np.sqrt(np.einsum("ij,ij->j", z, z) / max(len(z), 1)) + np.float32(1e-4)
+        z /= dev * np.float32(np.sqrt(DIMS))
         rows, self.pairs = [], []
 
         def learn(positive: np.ndarray, used: np.ndarray) -> None:
-            w, b = hinge(z[used], np.where(positive[used], 1.0, -1.0))
+            w, b = hinge(z, np.flatnonzero(used), np.where(positive[used], 1.0, -1.0))
             scaled = w / dev / np.sqrt(DIMS)
             rows.append((scaled, b - scaled @ mean))
 
@@ -195,10 +198,15 @@ def sample(docs: DataFrame, most: int = SAMPLE_DOCS, each: int = SAMPLE_EACH, id
 def train(docs: DataFrame, most: int = SAMPLE_DOCS, each: int = SAMPLE_EACH, **cols) -> Model:
     """A model from the documents of ``docs`` with a language."""
     rows = sample(docs, most, each, **cols).mapInArrow(_vectors, "lang string, x binary").limit(2 * most).toArrow()
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, DIMS)
     langs = rows["lang"].to_pylist()
-    order = np.lexsort((*(x[:, k] for k in range(8)), np.array(langs, str))) if len(langs) else []
-    return Model([langs[i] for i in order], x[order].astype(np.float32) if len(langs) else np.zeros((0, DIMS), np.float32))
+    x = np.zeros((len(langs), DIMS), np.float32)
+    for i, vector in enumerate(v for chunk in rows["x"].chunks for v in chunk):
+        x[i] = np.frombuffer(vector.as_buffer(), np.float32)
+    del rows
+    if langs:
+        order = np.lexsort((*(x[:, k] for k in range(8)), np.array(langs, str)))
+        langs, x = [langs[i] for i in order], x[order]
+    return Model(langs, x)
 
 
 def _scorer(model: Model) -> Callable:
