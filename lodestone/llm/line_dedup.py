@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.placed import Placed, placed
 from lodestone.llm.store import stored
-from lodestone.llm.words import Words, mix, powers, slices
+from lodestone.llm.words import Words, folded, mix, powers, slices
 
 _U = np.uint64
 _SEQ = _U(0xD1342543DE82EF95)
@@ -98,7 +98,7 @@ def _line_rows(keyed: DataFrame, least_units: int) -> DataFrame:
                 if not len(some):
                     continue
                 begin, end = words.first[:-1][some], words.first[1:][some]
-                whole, other = _Runs(words.hashes).of(begin, end), _Runs(mix(words.hashes ^ _OTHER)).of(begin, end)
+                whole, other = folded(words.hashes, begin, end), folded(words.others, begin, end, 1)
                 units, first = _units(lines, words, some, least_units)
                 runs, begin, end = _Runs(units), first[:-1], first[1:]
                 n = end - begin
