@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, secret_scan, substring_dedup
+from lodestone.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, resample, secret_scan, substring_dedup
 from lodestone.session import load, shared_dir
 
 
@@ -90,8 +90,12 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_ngram_jaccard, op4_quality, op5_substring_dedup, op6_exact_dedup, op7_line_dedup, op8_chat_format, op9_decontaminate, op10_mix)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_ngram_jaccard, op4_quality, op5_substring_dedup, op6_exact_dedup, op7_line_dedup, op8_chat_format, op9_decontaminate, op10_mix, op11_importance_resample)}
 
 
 _OP1 = r"""
@@ -171,6 +175,39 @@ SELECT doc_id, size, source_size, target, taken,
 FROM k
 """
 
+_OP11 = r"""
+WITH words AS (
+  SELECT doc_id, kind, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT doc_id, text, 's' AS kind FROM documents UNION ALL SELECT item_id, text, 't' FROM benchmark)),
+runs AS (
+  SELECT doc_id, kind, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM words),
+bytes AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM runs)),
+nibbles AS (
+  SELECT f, list_transform(range(1, len(x) + 1), lambda i: CAST(instr('0123456789ABCDEF', x[CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END]) - 1 AS UBIGINT)) AS n FROM bytes),
+buckets AS (
+  SELECT f, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, n), lambda c, b: xor(c >> 4,
+    ([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+      3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]::UBIGINT[])[CAST(xor(c, b) & 15 AS INT) + 1])), 4294967295::UBIGINT) % 10000 AS INT) AS bucket
+  FROM nibbles),
+sizes AS (
+  SELECT bucket, count(*) FILTER (kind = 's') AS s, count(*) FILTER (kind = 't') AS t FROM runs JOIN buckets USING (f) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain FROM sizes),
+weights AS (
+  SELECT doc_id, count(*) AS n_features, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight
+  FROM runs JOIN buckets USING (f) JOIN gains USING (bucket) WHERE kind = 's' GROUP BY doc_id),
+drawn AS (
+  SELECT doc_id, list_reduce(list_transform(range(1, 9), lambda i: CAST(instr('0123456789abcdef', sha256('7:' || doc_id)[i]) - 1 AS UBIGINT)), lambda a, b: a * 16 + b) AS h FROM documents),
+scored AS (
+  SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM drawn d LEFT JOIN weights w ON d.doc_id = w.doc_id),
+placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 39)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank
+FROM scored s LEFT JOIN placed p ON s.doc_id = p.doc_id
+"""
+
 
 def oracle_sql() -> dict:
-    return {"op1_secret_scan": _OP1, "op6_exact_dedup": _OP6, "op8_chat_format": _OP8, "op10_mix": _OP10}
+    return {"op1_secret_scan": _OP1, "op6_exact_dedup": _OP6, "op8_chat_format": _OP8, "op10_mix": _OP10, "op11_importance_resample": _OP11}
