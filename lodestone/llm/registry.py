@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, resample, secret_scan, substring_dedup
+from lodestone.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, prefix_trie, quality, resample, secret_scan, substring_dedup
 from lodestone.session import load, shared_dir
 
 
@@ -94,8 +94,18 @@ def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(load(spark, sf_dir, "conversations"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_ngram_jaccard, op4_quality, op5_substring_dedup, op6_exact_dedup, op7_line_dedup, op8_chat_format, op9_decontaminate, op10_mix, op11_importance_resample)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_ngram_jaccard, op4_quality, op5_substring_dedup, op6_exact_dedup, op7_line_dedup, op8_chat_format, op9_decontaminate, op10_mix, op11_importance_resample, op12_prefix_trie, op13_packing)}
 
 
 _OP1 = r"""
@@ -208,6 +218,41 @@ SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THE
 FROM scored s LEFT JOIN placed p ON s.doc_id = p.doc_id
 """
 
+_OP12 = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS place, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+    CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, n), lambda c, b: xor(c >> 4,
+      ([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+        3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]::UBIGINT[])[CAST(xor(c, b) & 15 AS INT) + 1])), 4294967295::UBIGINT) % 6 AS BIGINT) AS h
+  FROM (SELECT conv_id, list_transform(range(1, 2 * length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(instr('0123456789ABCDEF',
+      hex(encode(CAST(conv_id AS VARCHAR)))[CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END]) - 1 AS UBIGINT)) AS n
+    FROM (SELECT DISTINCT conv_id FROM t))),
+r AS (
+  SELECT c.conv_id, 0 AS own, place, role, text FROM c JOIN t ON t.conv_id = c.base WHERE place < h
+  UNION ALL SELECT c.conv_id, 1, place, role, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE place >= h),
+p AS (
+  SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars, md5(string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER w) AS node
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+q AS (
+  SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS above, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p),
+n AS (
+  SELECT depth, node, min(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, min(chars) AS chars,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM q GROUP BY depth, node),
+k AS (SELECT depth - 1 AS depth, above, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY depth, above),
+m AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.depth = n.depth AND k.above = n.node),
+s AS (
+  SELECT q.depth, q.node, count(*) FILTER (m.n_children = 0) AS n_leaves, sum((m.n_convs - 1) * m.chars) AS saved_tokens
+  FROM m JOIN q ON q.conv_id = m.conv_id AND q.depth <= m.depth GROUP BY q.depth, q.node)
+SELECT m.conv_id, m.depth, a.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN s USING (depth, node) LEFT JOIN m a ON a.depth = m.depth - 1 AND a.node = m.above
+"""
+
 
 def oracle_sql() -> dict:
-    return {"op1_secret_scan": _OP1, "op6_exact_dedup": _OP6, "op8_chat_format": _OP8, "op10_mix": _OP10, "op11_importance_resample": _OP11}
+    return {"op1_secret_scan": _OP1, "op6_exact_dedup": _OP6, "op8_chat_format": _OP8, "op10_mix": _OP10, "op11_importance_resample": _OP11, "op12_prefix_trie": _OP12}
