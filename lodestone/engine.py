@@ -51,7 +51,7 @@ class Engine:
         one = spark.createDataFrame([(1, parsed.text or query)], "query_id int, text string")
         kind = one.select(understanding.intent(F.col("text")).alias("k")).first()["k"]
         names = list(dict.fromkeys(C.ENTITY_ALIASES[w] for w in re.findall(r"\w+", parsed.text.lower()) if w in C.ENTITY_ALIASES))
-        other = understanding.expand(parsed.text, names, kind) if variants else []
+        other = understanding.wordings_of(spark, parsed.text, names, kind) if variants else []
         return self.search(one, k, allowed=self.allowed(parsed=parsed), variants=spark.createDataFrame([(1, v) for v in other], "query_id int, text string"))
 
     def understand(self, queries: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ class Engine:
         spark = self.chunks.sparkSession
         kind = spark.range(1).select(understanding.intent(F.lit(question)).alias("k")).first()["k"]
         names = list(dict.fromkeys(C.ENTITY_ALIASES[w] for w in re.findall(r"\w+", question.lower()) if w in C.ENTITY_ALIASES))
-        core = understanding.expand(question, [], "")[:1] or [question]
+        core = understanding.wordings_of(self.chunks.sparkSession, question, [], "")[:1] or [question]
 
         def answer(q: str) -> list[dict]:
             one = spark.createDataFrame([(1, q)], "query_id int, text string")
@@ -151,7 +151,7 @@ class Engine:
             return rows
 
         asked = [s["question"] for s in research.plan(core[0], names, kind)["sub_questions"]]
-        return research.loop(research.Run(question), asked, answer, lambda q: understanding.expand(q, names, kind), steps)
+        return research.loop(research.Run(question), asked, answer, lambda q: understanding.wordings_of(self.chunks.sparkSession, q, names, kind), steps)
 
     def evaluate(self, queries: DataFrame, judgments: DataFrame, k: int = 10) -> DataFrame:
         return evaluate.retrieval_metrics(self.search(queries, k).select("query_id", "id", "rank"), judgments, k)

@@ -53,7 +53,14 @@ INTENT_RULES = (
 )
 
 # Routing signals.
-IDENTIFIER = r"\b[A-Z][a-z]+[A-Z][A-Za-z]+\b|\b\w+\.\w+\.\w+\b|::|->\w|\w\(\)|\b[A-Z][A-Z0-9]+_[A-Z0-9_]+\b"
+IDENTIFIERS = (
+    r"\b[a-z0-9]+_[a-z0-9_]+\b",
+    r"\b[a-z]+[A-Z][A-Za-z]+\b",
+    r"\b[A-Z][a-z]+[A-Z][A-Za-z]+\b",
+    r"\b\w+\.\w+\.\w+\b",
+    r"::|->\w|\w\(\)",
+    r"\b[A-Z][A-Z0-9]+_[A-Z0-9_]+\b",
+)
 ERROR = r"(?i)\b(?:error|exception|traceback|panic|fatal|segfault|stack\s*trace|errno|E\d{3,5}|0x[0-9a-f]{4,})\b|exit\s+code\s+\d+"
 QUOTED = "\"[^\"]{4,}\"|'[^']{4,}'"
 
@@ -240,6 +247,13 @@ HOSTS = {
     "ubuntu.com": ("docs", "docs"),
     "archlinux.org": ("docs", "docs"),
     "pgxn.org": ("registry", "docs"),
+    "discuss.python.org": ("qa", "blog"),
+    "forums.docker.com": ("qa", "blog"),
+    "freecodecamp.org": ("blog", "blog"),
+    "percona.com": ("blog", "blog"),
+    "github.com": ("repo", "docs"),
+    "gitlab.com": ("repo", "docs"),
+    "bitbucket.org": ("repo", "docs"),
     "pypi.org": ("registry", "docs"),
     "npmjs.com": ("registry", "docs"),
     "crates.io": ("registry", "docs"),
@@ -247,9 +261,6 @@ HOSTS = {
     "nuget.org": ("registry", "docs"),
     "hex.pm": ("registry", "docs"),
     "mvnrepository.com": ("registry", "docs"),
-    "github.com": ("repo", "docs"),
-    "gitlab.com": ("repo", "docs"),
-    "bitbucket.org": ("repo", "docs"),
     "stackoverflow.com": ("qa", "so"),
     "stackexchange.com": ("qa", "so"),
     "serverfault.com": ("qa", "so"),
@@ -257,10 +268,6 @@ HOSTS = {
     "askubuntu.com": ("qa", "so"),
     "news.ycombinator.com": ("qa", "hn"),
     "reddit.com": ("qa", "reddit"),
-    "discuss.python.org": ("qa", "blog"),
-    "forums.docker.com": ("qa", "blog"),
-    "freecodecamp.org": ("blog", "blog"),
-    "percona.com": ("blog", "blog"),
     "dev.to": ("blog", "blog"),
     "medium.com": ("blog", "blog"),
     "hashnode.dev": ("blog", "blog"),
@@ -307,3 +314,25 @@ PLAN_QUESTIONS = {
     "how-to": ("What is the standard way to {core}?", "What are common pitfalls when you {core}?", "What are the best practices for {core}?"),
     "why": ("What causes {core}?", "Why does {core} happen?", "How do you address {core}?"),
 }
+
+#: Cues of reasons, of assertions and of changes in the life of a feature.
+CAUSAL = r"(?i)\b(because|due to|since|reason|caused by|so that|as a result|explains?)\b"
+ASSERTION_CUE = (
+    r"(?i)\b(better|worse|faster|slower|more|less|should|must|because|due to|causes?|"
+    r"prefer|avoid|recommend|instead|unlike|whereas|is the|are the|handles?|"
+    r"outperforms?|scales?|supports?|lacks?|cannot|does not|doesn't)\b"
+)
+LIFECYCLE = (
+    r"(?i)(deprecat\w*|removed in|was removed|been removed|no longer|superseded|obsolete|"
+    r"replaced by|renamed|retired|retirement|end[- ]of[- ]life|legacy)"
+)
+
+#: Other wordings of a query by its intent; the blank is the query without its question words.
+WORDINGS = {
+    "troubleshooting": ("%s error", "fix %s"),
+    "definition": ("%s explained", "how %s works"),
+    "how-to": ("%s example", "%s best practices"),
+    "why": ("%s reasons", "%s explained"),
+}
+#: Wordings of a comparison, with and without entities that it names.
+COMPARED = {"both": " vs ", "not both": "%s comparison", "one": "when to use %s", "none": "%s tradeoffs"}

@@ -5,6 +5,8 @@ Each query is a short plan over the operators; ``@query`` takes the SQL that mus
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +14,9 @@ from lodestone.functions import fixed as C
 from lodestone.functions import text as T
 from lodestone.functions.markdown import markdown_of
 from lodestone.operators import claims as K
-from lodestone.operators import evaluate, evidence, graph, ranking, shaping, sources, understanding, usage
+from lodestone.operators import evaluate, evidence, graph, ranking, shaping, sources, understanding, usage, vector_index
 from lodestone.plans import views as V
-from lodestone.session import load
+from lodestone.session import load, shared_dir
 from lodestone.streaming import counters
 
 _QUERIES: dict = {}
@@ -78,18 +80,18 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "id", "score", "matched", "n_terms", "rank")
 
 
-@query(f"WITH {_KNN} SELECT query_id, id, round(score, 4) AS score, rank FROM vec")
+@query(f"WITH {_KNN} SELECT query_id, id, score, rank FROM vec")
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = ranking.neighbours(load(spark, sf_dir, "embeddings"), V.vector_queries(spark, sf_dir))
-    return hits.select("query_id", "id", F.round("score", 4).alias("score"), "rank")
+    return hits.select("query_id", "id", "score", "rank")
 
 
-@query(f"WITH {_KNN.replace('WHERE q.vec_id % 20 = 0', 'WHERE q.vec_id % 20 = 0 AND e.label % 2 = 0')} SELECT query_id, id, round(score, 4) AS score, rank FROM vec")
+@query(f"WITH {_KNN.replace('WHERE q.vec_id % 20 = 0', 'WHERE q.vec_id % 20 = 0 AND e.label % 2 = 0')} SELECT query_id, id, score, rank FROM vec")
 def vector_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = load(spark, sf_dir, "embeddings")
     allowed = vectors.where("label % 2 = 0").select(F.col("vec_id").alias("id"))
     hits = ranking.neighbours(vectors, V.vector_queries(spark, sf_dir), allowed=allowed)
-    return hits.select("query_id", "id", F.round("score", 4).alias("score"), "rank")
+    return hits.select("query_id", "id", "score", "rank")
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,13 +112,24 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "id", F.round("rrf", 6).alias("rrf"), "rank")
 
 
+@query()
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every vector of the query set: how many of its ten exact neighbours the index finds, over all vectors."""
+    vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.lit("given").alias("model"))
+    index = vector_index.VectorIndex(spark, f"{shared_dir(spark)}/vector-index-{uuid.uuid4().hex}")
+    index.build(vectors)
+    asked = V.vector_queries(spark, sf_dir)
+    exact = ranking.neighbours(vectors, asked, 10, "id", "vector")
+    return vector_index.recall(index.search(asked, 10), exact)
+
+
 # The same searches by the names under which tests hold them to brute force.
 
 
 @query()
 def vector_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = ranking.neighbours(load(spark, sf_dir, "embeddings"), V.vector_queries(spark, sf_dir))
-    return hits.select("query_id", "id", F.round("score", 4).alias("score"), "rank")
+    return hits.select("query_id", "id", "score", "rank")
 
 
 @query()
@@ -124,7 +137,7 @@ def vector_search_filtered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = load(spark, sf_dir, "embeddings")
     allowed = vectors.where("label % 2 = 0").select(F.col("vec_id").alias("id"))
     hits = ranking.neighbours(vectors, V.vector_queries(spark, sf_dir), allowed=allowed)
-    return hits.select("query_id", "id", F.round("score", 4).alias("score"), "rank")
+    return hits.select("query_id", "id", "score", "rank")
 
 
 @query()
@@ -257,7 +270,7 @@ def superseded_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.superseded_by(evidence.supersessions(claims, ranking.cosine(F.col("a.vector"), F.col("b.vector")), 0.25), claims)
 
 
-_POLAR = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted({*C.STOP_WORDS, *evidence._POLARITY}))
+_POLAR = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted({*C.STOP_WORDS, *evidence._polarity_words()}))
 
 
 @query(
@@ -383,7 +396,7 @@ def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = r"len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))"
 _INTENT = "CASE " + " ".join("WHEN regexp_matches(lower(trim(text)), '" + p.replace("'", "''") + f"') THEN '{n}'" for p, n in C.INTENT_RULES) + " ELSE 'how-to' END"
-_EXACT = " OR ".join("regexp_matches(text, '" + p.replace("'", "''") + "')" for p in (C.IDENTIFIER, C.ERROR, C.QUOTED))
+_EXACT = " OR ".join("regexp_matches(text, '" + p.replace("'", "''") + "')" for p in (*C.IDENTIFIERS, C.ERROR, C.QUOTED))
 _STRATEGY = f"CASE WHEN {_EXACT} THEN 'exact' WHEN intent = 'troubleshooting' THEN 'balanced' WHEN n >= 10 OR intent IN ('definition', 'why', 'comparison') THEN 'semantic' ELSE 'balanced' END"
 #: Questions that user turns stand behind, so that every rule is met.
 _ASK = ("what is ", "how do i use ", "why is ", "postgres vs ", "error in ", "fooBar.baz() ", "")
