@@ -1,33 +1,52 @@
-"""Connected components of an edge table, by minimum labels and pointer jumping."""
+"""Connected components of an edge table, by hooking roots and pointer jumping."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.store import Steps, stored
+from lodestone.llm.store import Steps, Stored, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b); the label is the smallest node it can reach.
 
-    Each round takes the smallest label among a node's neighbours (a partial aggregation, so a
-    node with very many neighbours is no single task) and then the label of that label. Both
-    tables are written each round, which cuts the lineage; nothing is collected but a count.
+    Labels make trees, and each round merges trees. Every root takes the smallest root that an edge of
+    any node of its tree leads to, if that is smaller than itself (a partial aggregation, so
+    neither a node nor a tree with very many edges is a single task). Chains of hooks are followed to
+    their end by pointer jumping. In two rounds every tree with an edge is merged: a root that none of its edges
+    leads down from is hooked to by a neighbour, or that neighbour hooks to a smaller one, which
+    it hooks to in turn. So the rounds follow the logarithm of the number of nodes, on long paths too. Edges
+    are contracted to the trees they join and dropped inside one tree, so later rounds shuffle
+    fewer. The tables of a round are written, which cuts the lineage; nothing is collected but counts.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.df.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    labels = stored(nodes.select("node", F.col("node").alias("label")), "labels")
+    left = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    while left.df.limit(1).count():
+        hooks = _hooked(left)
+        new = stored(labels.df.join(hooks.df, F.col("label") == F.col("root"), "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        to = lambda end: hooks.df.select(F.col("root").alias(end), F.col("to").alias(f"to_{end}"))
+        moved = left.df.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("to_a", "a").alias("x"), F.coalesce("to_b", "b").alias("y"))
+        fewer = stored(moved.where("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
+        for done in (labels, left, hooks):
+            done.drop()
+        labels, left = new, fewer
+    left.drop()
+    return labels.df.select("node", "label")
+
+
+def _hooked(edges: Stored) -> Stored:
+    """(root, to) for the roots that edges (a > b) lead down from: where their chain of hooks ends."""
+    hooks = stored(edges.df.groupBy(F.col("a").alias("root")).agg(F.min("b").alias("to")), "hooks")
     while True:
-        near = both.df.join(labels.df, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("m"))
-        lower = labels.df.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        jump = labels.df.select(F.col("node").alias("at"), F.col("label").alias("to"))
-        new = stored(lower.join(jump, F.col("label") == F.col("at"), "left").select("node", "was", F.least("label", F.coalesce("to", "label")).alias("label")), "labels")
-        changed = new.df.where("label < was").limit(1).count()
-        labels.drop()
-        labels = new
-        if not changed:
-            both.drop()
-            return new.df.select("node", "label")
+        on = hooks.df.select(F.col("root").alias("at"), F.col("to").alias("next"))
+        new = stored(hooks.df.join(on, F.col("to") == F.col("at"), "left").select("root", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "hooks")
+        moved = new.df.where("moved").limit(1).count()
+        hooks.drop()
+        hooks = new
+        if not moved:
+            return hooks
 
 
 def merged(labels: DataFrame | None, edges: DataFrame, steps: Steps) -> DataFrame | None:

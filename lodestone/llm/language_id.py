@@ -4,12 +4,13 @@ A text is a vector of relative frequencies of hashed byte trigrams (A-Z in lower
 space as one space). One-versus-rest linear support vector machines predict the language
 family; inside a family, one-versus-one machines vote between its languages. Both are
 trained on the driver, on a sample bounded by ``SAMPLE_DOCS`` documents with a language,
-taken evenly by language by a hash of the id. The vectors are made on the executors, from
+taken evenly by language by a hash of the id (every language has its share, one document at least). The vectors are made on the executors, from
 whole texts. A trained model has a fixed size for each pair of languages and goes to the
 executors with the scoring function.
 
 Prediction: ``und`` with score 0 for null text and texts without a letter, otherwise a
-language of the sample. With no languages to learn from, every text is ``und``.
+language of the sample. With no languages to learn from, every text is ``und``, and a filter
+by language (``identified``) keeps what has a letter.
 """
 
 from __future__ import annotations
@@ -186,12 +187,12 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sample(docs: DataFrame, most: int = SAMPLE_DOCS, each: int = SAMPLE_EACH, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """About ``each`` documents of each language at most, by a hash of the id: columns text and lang."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most // 20).collect()
+    sizes = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").collect()  # one row for each language
     if not sizes:
         return docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.lit(False))
-    each = min(each, most // len(sizes))
+    each = max(1, min(each, most // len(sizes)))
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 40))
-    share = F.coalesce(*(F.when(F.col(lang_col) == r["lang"], F.lit(int(min(1.0, each / r["count"]) * (1 << 40)))) for r in sizes))
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, each / r["count"]) * (1 << 40)))))[F.col(lang_col)]
     return known.where(place < share).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
 
@@ -233,14 +234,17 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[C
 
 
 def identified(docs: DataFrame, model: Model, least: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, columns as they were, whose language is known with a score of ``least`` or more."""
+    """The rows of ``docs``, columns as they were, whose language is known with a score of ``least`` or more.
+
+    Where there was no language to learn from, no text can be told apart, and every text with a letter stays.
+    """
     score = _scorer(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch[text_col].cast(pa.string())
             for got in score(iter([pa.RecordBatch.from_arrays([texts, pa.array(range(len(texts)))], ["text", "row"])])):
-                good = pc.and_(pc.not_equal(got["lang_pred"], "und"), pc.greater_equal(got["score"], least))
+                good = pc.and_(pc.not_equal(got["lang_pred"], "und"), pc.greater_equal(got["score"], least)) if model.langs else pa.array(has_letter(texts.take(got["row"])))
                 rows = got["row"].filter(good)
                 if len(rows):
                     yield batch.take(rows)

@@ -11,7 +11,7 @@ window holds a whole block that begins at a multiple of ``block`` in its documen
    met twice is repeated; the union of the repeated windows at a place is a maximal repeat.
 
 Blocks meet by 38 bits of their hash, which can only add work; whole windows meet by 126 bits
-of two hashes.
+of two hashes that read the words' bytes independently. The words themselves are not compared again.
 
 Both meetings use one exchange of packed rows: a map task sorts the entries of a few
 megabytes of text by bucket and sends one binary row for each bucket, about 8 bytes for a
@@ -38,14 +38,13 @@ from lodestone.llm.placed import Placed, placed
 from lodestone.llm.store import stored, written_bytes
 from lodestone.llm.words import Words, slices
 
-#: Rows of a piece of text at most, as a power of two: neighbours in one partition.
-SLICE = 6
+#: Rows whose answers travel together, as a power of two: neighbours in one partition.
+SLICE = 9
 #: Bytes of written (compressed) text for each bucket; its entries take about four times as many in a worker's memory.
 BUCKET_BYTES = 4 << 20
 _U = np.uint64
 _ENTRY = "bucket int, base long, keys binary, rows binary, places binary, found boolean"
 _NAMES = ["bucket", "base", "keys", "rows", "places", "found"]
-_EMPTY = pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())], _NAMES)
 #: Bits at the low end of a packed key: it is a reference block; its piece of text has several of it.
 _ANCHOR, _SEVERAL = _U(1), _U(2)
 _SIZES = (np.uint8, np.uint16, np.uint32, np.uint64)
@@ -177,61 +176,64 @@ def _probes(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, _ENTRY)
 
 
-def _beside(docs: Placed, answers: DataFrame):
-    """Texts and answers of one slice of rows together; only the answers move."""
-    slices = docs.df.withColumn("slice", F.shiftright("row", SLICE))
-    dealt = docs.dealt(answers, F.call_function("shiftleft", F.col("slice"), F.lit(SLICE)))
-    return slices.groupBy("part", "slice").cogroup(dealt.groupBy("part", "slice"))
+def _lines(docs: Placed, answers: DataFrame) -> DataFrame:
+    """Answers gathered to one line for each row that has any, where the row is; no text moves."""
+
+    def split(table: pa.Table) -> pa.Table:
+        found = _places(table)
+        offsets = np.append(0, np.cumsum([len(p) for p in found.values()])).astype(np.int32)
+        flat = np.concatenate(list(found.values())) if found else np.zeros(0, np.int32)
+        return pa.table([pa.array(list(found), pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))], ["row", "places"])
+
+    return docs.per_row(answers.groupBy("slice").applyInArrow(split, "row long, places array<int>"), F.first("places").alias("places"))
 
 
 def _windows(docs: Placed, hits: DataFrame, window: int, buckets: int) -> DataFrame:
     """Whole windows around the hits of each document."""
     block = (window + 1) // 2
 
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        found, out = _places(answers), []
-        some = texts.filter(pa.array([r in found for r in texts["row"].to_pylist()], pa.bool_())).sort_by("row").combine_chunks()
-        for batch in some.to_batches():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             row = batch["row"].to_numpy()
             for a, b in _pieces(row, batch["text"]):
                 words = Words(batch["text"].slice(a, b - a))
                 near = np.zeros(len(words.hashes) + 1, np.int64)
-                for i, r in enumerate(row[a:b].tolist()):
-                    np.add.at(near, words.first[i] + np.maximum(found[r] - (window - block), 0), 1)
-                    np.add.at(near, words.first[i] + found[r] + 1, -1)
+                for i in range(b - a):
+                    found = np.asarray(batch["places"][a + i].values)
+                    np.add.at(near, words.first[i] + np.maximum(found - (window - block), 0), 1)
+                    np.add.at(near, words.first[i] + found + 1, -1)
                 near = np.cumsum(near) > 0
                 hashes, at = words.runs(window)
                 others = words.runs(window, other=True)[0][near[at]]
                 hashes, at = hashes[near[at]], at[near[at]]
                 if len(hashes):
                     doc = np.repeat(np.arange(b - a), words.counts)[at]
-                    out.append(_packed(hashes, others, row[a:b][doc], at - words.first[doc], np.ones(len(at), bool), buckets))
-        return pa.Table.from_batches(out) if out else _EMPTY
+                    yield _packed(hashes, others, row[a:b][doc], at - words.first[doc], np.ones(len(at), bool), buckets)
 
-    return _beside(docs, hits).applyInArrow(run, _ENTRY)
+    return docs.beside(_lines(docs, hits)).select("row", "text", "places").mapInArrow(run, _ENTRY)
 
 
 def _kept(docs: Placed, repeats: DataFrame, window: int) -> DataFrame:
     """Documents without the words of the repeated windows."""
 
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        found = _places(answers)
-        total, removed, out = [], [], []
-        for row, text in zip(texts["row"].to_pylist(), texts["text"]):
-            words = (text.as_py() or "").encode().split()
-            total.append(len(words))
-            if row in found:
-                edge = np.zeros(len(words) + 1, np.int64)
-                first = np.unique(found[row])
-                edge[first] += 1
-                np.add.at(edge, first + window, -1)
-                words = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
-            removed.append(total[-1] - len(words))
-            out.append(b" ".join(words))
-        return pa.table([texts["id"], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, removed, out = [], [], []
+            for text, found in zip(batch["text"], batch["places"]):
+                words = (text.as_py() or "").encode().split()
+                total.append(len(words))
+                if found.is_valid:
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    first = np.unique(np.asarray(found.values))
+                    edge[first] += 1
+                    np.add.at(edge, first + window, -1)
+                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
+                removed.append(total[-1] - len(words))
+                out.append(b" ".join(words))
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "text"])
 
     kind = dict(docs.df.dtypes)["id"]
-    return _beside(docs, repeats).applyInArrow(run, f"id {kind}, n_words long, n_removed long, text string")
+    return docs.beside(_lines(docs, repeats), "left").select("id", "text", "places").mapInArrow(run, f"id {kind}, n_words long, n_removed long, text string")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
