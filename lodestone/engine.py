@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -13,6 +14,8 @@ from lodestone.functions import text as T
 from lodestone.functions.embed import Embedder, HashedEmbedder, embedded
 from lodestone.operators import claims as K
 from lodestone.operators import evaluate, evidence, graph, ranking, research, shaping, understanding, usage
+from lodestone.operators.edges import EdgeTable
+from lodestone.session import shared_dir
 from lodestone.tables import written
 
 
@@ -32,6 +35,7 @@ class Engine:
         self.vectors = written(embedded(self.chunks.select("id", "text"), self.embedder).select("id", "vector"), "vectors")
         self.marks = written(self.chunks.select("id", T.simhash_bits(F.transform(T.shingle_texts(F.col("text")), T.half_md5)).alias("mark")), "marks")
         self.fields = {"title": C.FIELD_WEIGHTS["title"], "heading": C.FIELD_WEIGHTS["heading"], "text": C.FIELD_WEIGHTS["body"]}
+        self.edge_table = EdgeTable(self.chunks.sparkSession, f"{shared_dir(self.chunks.sparkSession)}/edges-{uuid.uuid4().hex}")
         self.tokens = ranking.tokenised(self.chunks.join(self.documents.select("document", "title"), "document"), "id", self.fields)
 
     def allowed(self, source_types: list[str] | None = None, since: str | None = None, parsed: understanding.Parsed | None = None) -> DataFrame | None:
@@ -108,12 +112,22 @@ class Engine:
         return K.in_version_time(K.merged(found, self.embedder, self.vectors.withColumnRenamed("id", "chunk"), ground, merge))
 
     def evidence(self, queries: DataFrame, claims: DataFrame) -> DataFrame:
-        """(claim, chunk, relation, strength, source): claims against the chunks found for their query."""
-        hits = self.search(queries, 6).select("query_id", F.col("id").alias("chunk"), F.col("document").alias("other"), F.col("text").alias("body"))
-        own = self.chunks.select(F.col("id").alias("first"), F.col("document").alias("source"))
-        rows = claims.select("query_id", F.col("key").alias("claim"), "text", F.element_at("chunks", 1).alias("first")).join(own, "first")
-        edges = K.linked(rows, hits, T.jaccard(T.tokens(F.col("text")), T.tokens(F.col("body"))))
-        return edges.join(self.chunks.select(F.col("id").alias("chunk"), F.col("document").alias("source")), "chunk")
+        """(claim, chunk, relation, strength, source): claims against the chunks found for their query and their own, assertion by assertion.
+
+        Edges are kept: a claim that was judged before is judged again only against chunks that are new to it or have changed.
+        """
+        hits = self.search(queries, 6).select("query_id", F.col("id").alias("chunk"))
+        asked = written(claims.select("query_id", F.col("key").alias("claim"), "text", "chunks"), "claims")
+        own = asked.select("claim", F.explode("chunks").alias("chunk")).distinct()
+        first = asked.groupBy("claim").agg(F.min("text").alias("text"), F.min(F.element_at("chunks", 1)).alias("first"))
+        bodies = self.chunks.select(F.col("id").alias("chunk"), F.col("text").alias("body"), F.col("document").alias("source"))
+        named = first.join(bodies.select(F.col("chunk").alias("first"), "source"), "first").select("claim", "text", "source")
+        found = asked.select("query_id", "claim").join(hits, "query_id").select("claim", "chunk").unionByName(own).distinct()
+        sim = F.round(T.jaccard(T.tokens(F.col("text")), T.tokens(F.col("body"))), 6)
+        pairs = found.join(named, "claim").join(bodies.drop("source"), "chunk").select("claim", "chunk", sim.alias("sim"))
+        self.edge_table.link(named, bodies, written(pairs, "pairs"), own)
+        edges = self.edge_table.edges().join(asked.select("claim").distinct(), "claim", "left_semi")
+        return edges.join(bodies.select("chunk", "source"), "chunk")
 
     def confidence(self, claims: DataFrame, edges: DataFrame) -> DataFrame:
         trusted = edges.join(self.documents.select(F.col("document").alias("source"), "trust"), "source")

@@ -336,3 +336,6 @@ WORDINGS = {
 }
 #: Wordings of a comparison, with and without entities that it names.
 COMPARED = {"both": " vs ", "not both": "%s comparison", "one": "when to use %s", "none": "%s tradeoffs"}
+
+#: Similarities from which a chunk restates, explains or weakly restates a claim.
+STRONG_SUPPORT_SIM, EXPLAIN_SIM, SUPPORT_SIM = 0.55, 0.40, 0.45

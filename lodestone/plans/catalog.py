@@ -14,7 +14,7 @@ from lodestone.functions import fixed as C
 from lodestone.functions import text as T
 from lodestone.functions.markdown import markdown_of
 from lodestone.operators import claims as K
-from lodestone.operators import evaluate, evidence, graph, keyword_index, ranking, shaping, sources, understanding, usage, vector_index
+from lodestone.operators import edges, evaluate, evidence, graph, keyword_index, ranking, shaping, sources, understanding, usage, vector_index
 from lodestone.plans import views as V
 from lodestone.session import load, shared_dir
 from lodestone.streaming import counters
@@ -314,6 +314,20 @@ def evidence_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.linked(claims, held.drop("own", "said"), T.jaccard(F.col("terms"), F.col("words")))
 
 
+@query()
+def evidence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's passages as claims, held against the six documents that are found for each, assertion by assertion."""
+    docs = load(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    claims = V.bench_queries(spark, sf_dir).select(F.col("query_id").alias("claim"), "text", F.lit("benchmark").alias("source"))
+    chunks = docs.select(F.col("doc_id").alias("chunk"), F.col("text").alias("body"), "source")
+    found = ranking.bm25(docs, claims.select(F.col("claim").alias("query_id"), "text"), k=6).select(F.col("query_id").alias("claim"), F.col("id").alias("chunk"))
+    sim = F.round(T.jaccard(T.tokens(F.col("text")), T.tokens(F.col("body"))), 6)
+    pairs = found.join(claims, "claim").join(chunks.drop("source"), "chunk").select("claim", "chunk", sim.alias("sim"))
+    table = edges.EdgeTable(spark, f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}")
+    table.link(claims, chunks, pairs, pairs.select("claim", "chunk").where(F.lit(False)))
+    return table.edges()
+
+
 @query(
     f"""WITH {EVIDENCE}, e AS (SELECT DISTINCT claim // 20 AS answer, claim, source FROM evidence WHERE relation = 'supports'),
 f AS (SELECT answer, source, min((claim, source)) AS f FROM e GROUP BY 1, 2)
