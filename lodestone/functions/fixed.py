@@ -339,3 +339,6 @@ COMPARED = {"both": " vs ", "not both": "%s comparison", "one": "when to use %s"
 
 #: Similarities from which a chunk restates, explains or weakly restates a claim.
 STRONG_SUPPORT_SIM, EXPLAIN_SIM, SUPPORT_SIM = 0.55, 0.40, 0.45
+
+#: Fixed value: what is left of the trust of a suspicious document.
+TRUST_PENALTY = 0.5

@@ -45,12 +45,22 @@ class KeywordIndex:
 
     def build(self, docs: DataFrame, id_col: str = "id") -> None:
         """Indexes ``docs`` from nothing; ids are integers, one row each."""
+        tables, notes = self.built(docs, id_col)
+        self.versions.commit(tables, notes=notes)
+
+    def built(self, docs: DataFrame, id_col: str = "id") -> tuple[dict, dict]:
+        """The written tables of a build and its notes, for a commit that may take in other tables."""
         tables, notes = self._segment(docs, id_col, 1)
         gone = self.versions.write(self.spark.createDataFrame([], "id long, segment int"), "gone")
-        self.versions.commit(tables | {"gone": gone}, notes=notes | {"segment": 1})
+        return tables | {"gone": gone}, notes | {"segment": 1}
 
     def refresh(self, docs: DataFrame, removed: DataFrame | None = None, id_col: str = "id") -> None:
         """Takes in new and changed documents (``docs``) and drops those in ``removed`` (id); one in both stays, as ``docs`` has it."""
+        tables, append, notes = self.refreshed(docs, removed, id_col)
+        self.versions.commit(tables, append, notes)
+
+    def refreshed(self, docs: DataFrame, removed: DataFrame | None = None, id_col: str = "id") -> tuple[dict, tuple[str, ...], dict]:
+        """The written tables of a refresh, those that add to what is there, and its notes."""
         before = self.versions.manifest()["notes"]
         tables, notes = self._segment(docs, id_col, before["segment"] + 1)
         touched = docs.select(F.col(id_col).cast("long").alias("id"))
@@ -58,11 +68,10 @@ class KeywordIndex:
         old = written(self.versions.read("forward").join(self.versions.read("gone"), ["id", "segment"], "left_anti").join(touched, "id", "left_semi"), "old")
         lost = old.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0.0))).first()
         fewer = old.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("n"))
-        self.versions.commit(
-            tables | {"gone": self.versions.write(old.select("id", "segment"), "gone"), "terms": self.versions.write(self._read(tables["terms"]).unionByName(fewer), "terms")},
-            append=("postings", "forward", "terms", "gone"),
-            notes={"segment": before["segment"] + 1, "n": before["n"] - lost[0] + notes["n"], "length": before["length"] - lost[1] + notes["length"]},
-        )
+        tables["gone"] = self.versions.write(old.select("id", "segment"), "gone")
+        tables["terms"] = self.versions.write(self._read(tables["terms"]).unionByName(fewer), "terms")
+        notes = {"segment": before["segment"] + 1, "n": before["n"] - lost[0] + notes["n"], "length": before["length"] - lost[1] + notes["length"]}
+        return tables, ("postings", "forward", "terms", "gone"), notes
 
     def _read(self, table: dict) -> DataFrame:
         return self.spark.read.schema(table["schema"]).parquet(*table["folders"])
