@@ -110,3 +110,50 @@ def with_claims(nodes: DataFrame, edges: DataFrame, claims: DataFrame, most: int
     told = nodes.join(best, nodes["node"] == best["entity"], "left").drop("entity").withColumn("claims", F.coalesce("claims", none))
     linked = edges.join(of("subject"), "subject", "left").join(of("object"), "object", "left")
     return told, linked.withColumn("claims", F.coalesce(F.array_intersect("subject_claims", "object_claims"), none)).drop("subject_claims", "object_claims")
+
+
+def seeds_of(queries: DataFrame, aliases: DataFrame, most: int = 12) -> DataFrame:
+    """(query_id, seed, place): entities that the words of each query (query_id, text) name by an alias (alias, entity), in the order in which they come."""
+    words = queries.select("query_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("at", "alias"))
+    found = words.join(aliases, "alias").groupBy("query_id", F.col("entity").alias("seed")).agg(F.min("at").alias("at"))
+    order = Window.partitionBy("query_id").orderBy("at", "seed")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("query_id", "seed", "place")
+
+
+def for_queries(edges: DataFrame, seeds: DataFrame, depth: int = 1, cap: int = 60, least: int = 8) -> tuple[DataFrame, DataFrame]:
+    """The neighbourhoods of a whole batch of queries: nodes (query_id, node, depth, place) and edges (query_id and the columns of ``edges``).
+
+    ``seeds``: query_id, seed, place. One walk goes on from all seeds of all queries at once. Each seed has its
+    share of the cap (``least`` at least), which is kept at every step, nearest nodes first and the smallest of one step, so a walk
+    holds no more than its share. The walks of a query are merged in the order of its seeds up to ``cap`` nodes, numbered
+    by ``place``; edges are those among the nodes that stay.
+
+    Of a node's neighbours, only the smallest that two full shares could need are ever looked at: one share may have been
+    seen before, and one is what a step can add. So a node with very many edges is a short list.
+    """
+    share = F.greatest(F.floor(F.lit(cap) / F.count(F.lit(1)).over(Window.partitionBy("query_id"))), F.lit(least)).cast("int")
+    walks = written(seeds.select("query_id", "seed", F.col("place").alias("turn"), share.alias("share")), "walks")
+    top = walks.agg(F.max("share")).first()[0] or least
+    links = both_ways(edges).select("at", "to").distinct()
+    near = F.row_number().over(Window.partitionBy("at").orderBy("to"))
+    links = written(links.withColumn("n", near).where(F.col("n") <= 2 * top + 1).drop("n"), "links")
+    seen = frontier = written(walks.withColumn("node", F.col("seed")).withColumn("depth", F.lit(0)), "seen")
+    walk = ["query_id", "seed"]
+    for d in range(1, depth + 1):
+        step = frontier.join(links, frontier["node"] == links["at"]).select(*walk, "turn", "share", F.col("to").alias("node")).distinct()
+        step = step.join(seen.select(*walk, "node"), [*walk, "node"], "left_anti")
+        held = seen.groupBy(*walk).agg(F.count(F.lit(1)).alias("held"))
+        first = F.row_number().over(Window.partitionBy(*walk).orderBy("node"))
+        step = step.join(held, walk).withColumn("n", first).where(F.col("n") <= F.col("share") - F.col("held"))
+        frontier = written(step.select(*walk, "turn", "share", "node", F.lit(d).alias("depth")), "frontier")
+        seen = seen.unionByName(frontier)
+    met = seen.groupBy("query_id", "node").agg(F.min(F.struct("turn", "depth")).alias("m"))
+    order = Window.partitionBy("query_id").orderBy("m.turn", "m.depth", "node")
+    nodes = written(met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap).select("query_id", "node", F.col("m.depth").alias("depth"), "place"), "nodes")
+    end = lambda x: nodes.select("query_id", F.col("node").alias(x))
+    return nodes, end("subject").join(edges, "subject").join(end("object"), ["query_id", "object"], "left_semi")
+
+
+def claims_attached(nodes: DataFrame, edges: DataFrame, claims: DataFrame, most: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Nodes with the ids of their surest claims, and edges with the claims about both ends; ``claims``: entity, claim, confidence. Ids of queries stay."""
+    return with_claims(nodes, edges, claims, most)

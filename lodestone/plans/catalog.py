@@ -403,6 +403,39 @@ def graph_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.added(rows)
 
 
+_WORD_GRAPH = r"""t AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+  g AS (SELECT DISTINCT w[i] AS subject, w[i + 1] AS object FROM t, unnest(range(1, len(w))) AS u(i) WHERE length(w[i]) >= 5 AND length(w[i + 1]) >= 5 AND w[i] <> w[i + 1]),
+  a AS (SELECT subject AS node FROM g UNION SELECT object FROM g),
+  l AS (SELECT subject AS here, object AS "to" FROM g UNION SELECT object, subject FROM g),
+  q AS (SELECT conv_id AS query_id, min(i) AS spot, x AS seed FROM (SELECT conv_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM
+      (SELECT conv_id, regexp_extract_all(lower(min(coalesce(text, ''))), '[\p{L}\p{N}_]+') AS w FROM conversations WHERE turn = 0 GROUP BY conv_id)) JOIN a ON a.node = x GROUP BY 1, 3),
+  s AS (SELECT query_id, seed, row_number() OVER (PARTITION BY query_id ORDER BY spot, seed) AS turn FROM q QUALIFY turn <= 12),
+  h AS (SELECT *, greatest(60 // count(*) OVER (PARTITION BY query_id), 8) AS share FROM s),
+  r AS (SELECT query_id, seed, turn, share, seed AS node, 0 AS depth FROM h
+    UNION SELECT r.query_id, r.seed, r.turn, r.share, l."to", r.depth + 1 FROM r JOIN l ON l.here = r.node WHERE r.depth < 2),
+  d AS (SELECT query_id, seed, turn, share, node, min(depth) AS depth FROM r GROUP BY query_id, seed, turn, share, node
+    QUALIFY row_number() OVER (PARTITION BY query_id, seed ORDER BY min(depth), node) <= share),
+  m AS (SELECT query_id, node, min((turn, depth)) AS f FROM d GROUP BY 1, 2),
+  n AS (SELECT query_id, node, f[2] AS depth, row_number() OVER (PARTITION BY query_id ORDER BY f[1], f[2], node) AS place FROM m QUALIFY place <= 60),
+  c AS (SELECT node, item_id, row_number() OVER (PARTITION BY node ORDER BY item_id % 7 DESC, item_id) AS k FROM (SELECT DISTINCT item_id, unnest(w) AS node FROM t) QUALIFY k <= 5),
+  k AS (SELECT node, string_agg(item_id, ',' ORDER BY k) AS claims FROM c GROUP BY node)"""
+
+
+@query(f"WITH RECURSIVE {_WORD_GRAPH} SELECT query_id, n.node, CAST(depth AS INT) AS depth, CAST(place AS INT) AS place, coalesce(claims, '') AS claims FROM n LEFT JOIN k ON k.node = n.node")
+def graph_for_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that stand side by side in benchmark passages are a graph; the first turn of every conversation asks for its part of it, with the passages about each word."""
+    words = load(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("w"))
+    pairs = words.select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", 2, 1 << 30).alias("b"))).alias("p")).select(F.col("p.a").alias("subject"), F.col("p.b").alias("object"))
+    long = (F.length("subject") >= 5) & (F.length("object") >= 5) & (F.col("subject") != F.col("object"))
+    links = pairs.where(long).distinct().withColumns({"edge": F.concat_ws(">", "subject", "object"), "kind": F.lit("beside")})
+    aliases = links.select(F.explode(F.array("subject", "object")).alias("entity")).distinct().withColumn("alias", F.col("entity"))
+    asked = load(spark, sf_dir, "conversations").where("turn = 0").groupBy(F.col("conv_id").alias("query_id")).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    nodes, inner = graph.for_queries(links, graph.seeds_of(asked, aliases), depth=2)
+    about = words.select(F.explode(F.array_distinct("w")).alias("entity"), F.col("item_id").alias("claim"), (F.col("item_id") % 7).alias("confidence"))
+    told, _ = graph.claims_attached(nodes, inner, about)
+    return told.select("query_id", "node", "depth", "place", F.array_join(F.col("claims").cast("array<string>"), ",").alias("claims"))
+
+
 @query(r"SELECT DISTINCT item_id AS claim, s AS entity FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM benchmark) JOIN (SELECT lower(n_name) AS a, n_nationkey AS s FROM nation UNION ALL SELECT unnest(['with', 'that', 'this']), unnest([100, 101, 102])) ON a = w")
 def claim_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = load(spark, sf_dir, "nation").select(F.lower("n_name").alias("alias"), F.col("n_nationkey").alias("entity")).unionByName(spark.createDataFrame([("with", 100), ("that", 101), ("this", 102)], "alias string, entity int"))
