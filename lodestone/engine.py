@@ -62,7 +62,9 @@ class Engine:
         return understanding.routed(queries)
 
     def search(self, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None, variants: DataFrame | None = None) -> DataFrame:
-        """Ranked hits (query_id, id, rank, fused, alternates, text, url) of a batch of queries (query_id, text).
+        """Ranked hits (query_id, id, rank, fused, alternates, text, url, ...) of a batch of queries (query_id, text).
+
+        A query that names a version of a product raises hits about that version and lowers those about older ones only.
 
         ``allowed`` (id) filters before ranking. ``variants`` (query_id, text) are other wordings; each has rankings of its own that vote like the query's.
         """
@@ -95,8 +97,10 @@ class Engine:
             net = usage.chunk_usefulness(self.chunks.select(F.col("id").alias("chunk"), "document"), usage.net_signal(self.feedback_counts))
             hits = hits.join(net.withColumnRenamed("chunk", "id"), "id", "left")
         best = Window.partitionBy("query_id").orderBy(F.desc("fused"), "id")
-        out = ranking.fused(hits, self.as_of).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        return out.select("query_id", "id", "document", "rank", "fused", F.col("others").alias("alternates"), "heading", "text", "url", "title")
+        asks = queries.select("query_id", understanding.query_constraint(F.col("text")).alias("constraint"))
+        out = understanding.annotated(ranking.fused(hits, self.as_of).join(asks, "query_id"))
+        out = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return out.select("query_id", "id", "document", "rank", "fused", F.col("others").alias("alternates"), "heading", "text", "url", "title", "mentions", "match", "outdated")
 
     def web_search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         hits = ranking.best_per(self.search(queries, 3 * k), ["query_id", "document"], F.col("rank")).where(F.col("rank") <= 3 * k)
