@@ -52,7 +52,7 @@ STAGES = [
     ("source_mixing", mix_sources),
 ]
 
-#: Language ID, near duplicates and SimHash can't be told in SQL; tests hold each stage to brute force.
+#: Language ID, near duplicates and SimHash can't be told in SQL. Tests hold the operators of stages 2 to 5 to brute force, and the stages to listed ids.
 ORACLE_SQL = None
 
 
