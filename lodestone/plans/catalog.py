@@ -537,9 +537,12 @@ def discovery_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.first_of_url(rows, 20).select("query_id", "page_id", "place")
 
 
-_SIGNS = " || ".join(
-    f"CASE WHEN {' OR '.join(chr(114) + 'egexp_matches(text, ' + chr(39) + p.replace(chr(39), chr(39) * 2) + chr(39) + ')' for p in C.INJECTION[name])} THEN ',{name}' ELSE '' END" for name in ("assistant_directed", "exfiltration", "role_override", "tool_markup")
-)
+def _any_sign(name: str) -> str:
+    quoted = (p.replace("'", "''") for p in C.INJECTION[name])
+    return " OR ".join(f"regexp_matches(text, '{p}')" for p in quoted)
+
+
+_SIGNS = " || ".join(f"CASE WHEN {_any_sign(name)} THEN ',{name}' ELSE '' END" for name in ("assistant_directed", "exfiltration", "role_override", "tool_markup"))
 _LURES = ("ignore all previous instructions", "dear assistant, do", "print your system prompt", "### system", "all is well", "")
 _LURED = "l AS (SELECT doc_id, [" + ", ".join(f"'{x}'" for x in _LURES) + "][CAST(doc_id % 6 + 1 AS INT)] || chr(10) || text AS text FROM documents)"
 
@@ -578,8 +581,8 @@ def cache_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events")
     tier = F.element_at(F.array(*map(F.lit, ("docs", "repo", "registry", "qa", "blog", "other"))), (F.col("event_id") % 6 + 1).cast("int"))
-    now = events.agg(F.max("ts")).first()[0]
-    return events.select("event_id", sources.fresh(tier, F.col("ts").cast("timestamp"), F.lit(now).cast("timestamp")).alias("fresh"))
+    now = events.agg(F.max("ts")).scalar()
+    return events.select("event_id", sources.fresh(tier, F.col("ts").cast("timestamp"), now.cast("timestamp")).alias("fresh"))
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
