@@ -80,11 +80,15 @@ class KeywordIndex:
         tokens = ranking.tokenised(docs, id_col, self.fields).withColumn("id", F.col("id").cast("long"))
         n, length = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0.0))).first()
         block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // BLOCK_DOCS)))) + F.lit(segment << 32)
-        rows = ranking.postings(tokens, list(self.fields.values())).withColumn("block", block)
+        # dealt by block before words are unfolded, so counting and gathering move nothing more
+        weighed = lambda w: lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))
+        each = F.concat(*(F.transform(f"f{i}", weighed(w)) for i, w in enumerate(self.fields.values())))
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = tokens.withColumn("block", block).repartition(parts, "block").select("id", "dl", "block", F.explode(each).alias("t"))
+        rows = dealt.groupBy("block", "id", "dl", "t.term").agg(F.sum("t.w").alias("tf"))
         blocks = rows.groupBy("term", "block").agg(  # about BLOCK_DOCS rows, or all of one document's repeats
             F.max("tf").alias("most"), F.min("dl").alias("least"), F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("docs")
         )
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         blocks = blocks.repartitionByRange(parts, "term", "block").sortWithinPartitions("term", "block")  # a frequent term is many rows
         every = F.array_distinct(F.concat(*(f"f{i}" for i in range(len(self.fields)))))
         forward = self.versions.write(tokens.select("id", F.lit(segment).alias("segment"), F.col("dl").alias("length"), every.alias("terms")), "forward")
